@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import leaks, mixing, terms
+from lexmill.llm import leaks, lines, mixing, spam, terms
 from lexmill.session import cut
 from lexmill.sources.tables import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, d, "articles"), cut)
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each body without the lines that are excessive in its source and their near-duplicates."""
+    a = table(spark, d, "articles")
+    return lines.without_lines(a, lines.repeated_lines(a, cut).unionByName(lines.near_lines(a, cut)).distinct())
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "articles"), table(spark, d, "analysis_voice")).where("mark is not null").select("field", "term", "mark")
 
@@ -30,5 +40,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), cut=cut)[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(table(spark, d, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
