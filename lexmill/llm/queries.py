@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import leaks, lines, mixing, spam, spans, terms
+from lexmill.llm import leaks, lines, mixing, names, spam, spans, terms
 from lexmill.session import cut
 from lexmill.sources.tables import table
 
@@ -19,6 +19,14 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(a, spans.shared_spans(a, cut))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_pairs(names.entities(table(spark, d, "articles"), table(spark, d, "roster"), cut))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "articles"), table(spark, d, "roster"), cut)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "articles"), cut)
 
@@ -57,5 +65,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_scores(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
