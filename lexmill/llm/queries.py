@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import leaks, lines, mixing, names, spam, spans, terms
+from lexmill.llm import boilerplate, leaks, lines, mixing, names, spam, spans, terms
 from lexmill.session import cut
 from lexmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "articles"), table(spark, d, "provenance"))
+
+
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "articles"), table(spark, d, "provenance"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "articles"), cut)
 
@@ -65,5 +73,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_scores(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_entities": p3_entities, "p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
