@@ -34,13 +34,21 @@ _STOP = re.compile(r"(?<=[\w)\]”\"'’*])(?:[.!?…]+|;|:| --| —)(?=[\s”\"
 _QUOTED = re.compile(r"^[\s>*_-]+")
 
 
-def repeated_cover(tokens: list, repeats: int, span: int = 2) -> bytearray:
+def repeated_cover(tokens: list, repeats: int, span: int = 2, longest: int = 100_000) -> bytearray:
     """Marks the tokens in maximal substrings of at least ``span`` tokens that occur ``repeats`` times, by a suffix automaton."""
     n = len(tokens)
     marks = bytearray(n)
     if n < span + repeats - 1:
         return marks
-    if max(Counter(zip(*(tokens[i:] for i in range(span)))).values()) < repeats:
+    windows = Counter(zip(*(tokens[i:] for i in range(span))))
+    if max(windows.values()) < repeats:
+        return marks
+    if n > longest:
+        # A page too long for an automaton in a worker's memory.  A repeated substring consists of windows repeated as often,
+        # and a repeated window lies in a maximal repeated substring, so the windows cover the same words.
+        for i, w in enumerate(zip(*(tokens[i:] for i in range(span)))):
+            if windows[w] >= repeats:
+                marks[i : i + span] = b"\1" * span
         return marks
     nxt: list[dict] = [{}]
     link, length, count = [-1], [0], [0]
@@ -110,11 +118,11 @@ def _plain_lines(line: str) -> str:
     return "text"
 
 
-def outside_clauses(text: str, longest: int = 60) -> list[tuple[int, bool]]:
-    """(words, outside) for each stretch of the text in order: outside where it is no part of a clause.
+def outside_clauses(text: str, longest: int = 60) -> list[tuple[int, str]]:
+    """(words, 'clause', 'outside' or 'table') for each stretch of the text in order: outside where it is no part of a clause.
 
     Text lines without a blank line between them are one block, so wrapped and quoted sentences stay whole."""
-    out: list[tuple[int, bool]] = []
+    out: list[tuple[int, str]] = []
     block: list[str] = []
 
     def close() -> None:
@@ -125,12 +133,12 @@ def outside_clauses(text: str, longest: int = 60) -> list[tuple[int, bool]]:
         for m in _STOP.finditer(joined):
             n = len(_WORD.findall(joined, at, m.end()))
             if n:
-                out.append((n, n > longest))
+                out.append((n, "outside" if n > longest else "clause"))
                 ended += n <= longest
             at = m.end()
         n = len(_WORD.findall(joined, at))
         if n:
-            out.append((n, not (ended and n <= longest)))
+            out.append((n, "clause" if ended and n <= longest else "outside"))
         block.clear()
 
     for raw in text.split("\n"):
@@ -145,7 +153,7 @@ def outside_clauses(text: str, longest: int = 60) -> list[tuple[int, bool]]:
             close()
             n = len(_WORD.findall(line))
             if n:
-                out.append((n, kind != "table"))
+                out.append((n, "table" if kind == "table" else "outside"))
     close()
     return out
 
@@ -159,9 +167,10 @@ def spam_share(text: str, often: int = 16, span: int = 2, stuffed: float = 0.3,
     marks = repeated_cover(words, max(8, -(-n // often)), span)
     seen = Counter(words)
     at = outside = either = 0
-    for k, bad in outside_clauses(text):
+    for k, state in outside_clauses(text):
+        bad = state == "outside"
         outside += k * bad
-        either += k * (bad or (sum(marks[at : at + k]) >= stuffed * k and sum(seen[w] > 2 for w in words[at : at + k]) >= stale * k))
+        either += k * (bad or state == "clause" and (sum(marks[at : at + k]) >= stuffed * k and sum(seen[w] > 2 for w in words[at : at + k]) >= stale * k))
         at += k
     n = max(n, at)
     return n, sum(marks) / n, outside / n, either / n

@@ -47,6 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+WIDE = U(1)  # the last bit of a name tells that it stands for a long run
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -175,7 +176,7 @@ def chosen_symbols(texts: list[str], least: int, context: int | None = None, lev
         hi = np.minimum(p.left[i], p.line_end[p.line[i]] - least)
         ok = hi >= lo
         i = i[ok]
-        kept.append((p.line[i], p.named(p.left[i], p.right[i]), p.start[i], p.end[i], lo[ok], hi[ok]))
+        kept.append((p.line[i], p.named(p.left[i], p.right[i]) & ~WIDE, p.start[i], p.end[i], lo[ok], hi[ok]))
         return bool(fits.any())
 
     take()
@@ -184,8 +185,12 @@ def chosen_symbols(texts: list[str], least: int, context: int | None = None, lev
         # A run longer than the window has no name inside it that depends on its length; its unit stands for it.
         big = np.flatnonzero((p.end - p.start >= least) & (p.count > 1) & ~p.stop)
         if len(big):
-            name = _mix(p.unit[big] ^ U(0x8CB92BA72F3D8DD7))
-            kept.append((p.line[big], name, p.start[big], p.end[big], p.start[big], p.end[big] - least))
+            # Such a run has the same windows at many places, so it is entered at every ``least`` characters, for windows.
+            name = _mix(p.unit[big] ^ U(0x8CB92BA72F3D8DD7)) | WIDE
+            times = (p.end[big] - p.start[big] + least - 1) // least
+            at = np.repeat(p.start[big], times) + least * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            r = lambda v: np.repeat(v, times)
+            kept.append((r(p.line[big]), r(name), at, at + 1, r(p.start[big]), r(p.end[big]) - least))
         p.pairs(level)
         if not take():
             break
@@ -380,9 +385,10 @@ def shared_spans(articles: DataFrame, cut: Callable, least: int = 200, pairwise:
     places = met.select("name", "line", "start").distinct()
     crowd = places.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
     meeting = places.join(crowd, "name").join(texts, "line").select("name", "line", "start", "text", "r1", "r2", "n")
-    few_rows = meeting.where(F.col("n") <= pairwise).drop("n").repartition("name").sortWithinPartitions("name")
+    by_windows = (F.col("n") > pairwise) | (F.col("name") % 2 != 0)
+    few_rows = meeting.where(~by_windows).drop("n").repartition("name").sortWithinPartitions("name")
     pairs = few_rows.mapInPandas(_compare(least), "line bigint, lo int, hi int")
-    w = meeting.where(F.col("n") > pairwise).drop("n").mapInPandas(_windows(least), "w1 bigint, w2 bigint, line bigint, s int, r1 bigint, r2 bigint")
+    w = meeting.where(by_windows).drop("n").mapInPandas(_windows(least), "w1 bigint, w2 bigint, line bigint, s int, r1 bigint, r2 bigint")
     both = w.groupBy("w1", "w2").agg(F.min("r1").alias("a"), F.max("r2").alias("b")).where("a <> b").select("w1", "w2")
     windows = w.join(both, ["w1", "w2"]).select("line", F.col("s").alias("lo"), (F.col("s") + least).alias("hi"))
     found = whole.unionByName(pairs).unionByName(windows).distinct()
