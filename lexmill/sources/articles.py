@@ -34,7 +34,7 @@ def parse_front_matter(df: DataFrame, value: str = "value") -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """One row per *.md file below path: the known fields, provenance and body, by slug."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     p = parse_front_matter(raw)
     return p.select(*[F.col("meta")[f].alias(f) for f in FIELDS], F.col("meta")["word_count"].try_cast("bigint").alias("word_count"), "provenance", "body")
 

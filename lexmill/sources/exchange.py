@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def read_json_document(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
@@ -44,13 +44,13 @@ def unpack(text: str) -> object:
     return json.loads(gzip.decompress(base64.b64decode(text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def packed(s: pd.Series) -> pd.Series:
     """Texts gzipped and in base64, stable."""
     return s.map(lambda x: None if x is None else base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpacked(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else gzip.decompress(base64.b64decode(x)).decode())
 
