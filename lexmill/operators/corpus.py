@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
+from lexmill.session import spread
 
 
 def articles(df: DataFrame) -> DataFrame:
     """One row per slug; where deliveries differ the smallest value counts."""
     cols = [c for c in df.columns if c not in ("slug", "entities")]
-    return df.where("slug is not null").groupBy("slug").agg(*[F.min(c).alias(c) for c in cols])
+    return spread(df.where("slug is not null"), "slug").groupBy("slug").agg(*[F.min(c).alias(c) for c in cols])
 
 
 def sentence_tokens(corpus: DataFrame, key: str, body: str) -> DataFrame:

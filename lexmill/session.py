@@ -50,3 +50,16 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partitioned by columns into as many parts as the session shuffles into (at least one per core).  A number that is
+    asked for isn't merged again at run time, so work that costs more than its bytes say keeps all cores busy."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than cores, as of one small file, dealt out over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
