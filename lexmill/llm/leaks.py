@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import widen
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -78,6 +80,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 10, block_chars: int = 20_
     """(doc id, item id) for each document that holds at least n consecutive words of an item."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("d"), F.col("text").alias("t")).where("d is not null and t is not null")
+    d = widen(d)
     i = items.select(F.col(item_col).alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
     chars = i.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = chars // block_chars + 1

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import widen
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +59,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [counter.count(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "source", "text").where("doc_id is not null and source is not null and text is not null").mapInPandas(run, "doc_id bigint, source string, tokens bigint")
+    src = docs.select("doc_id", "source", "text").where("doc_id is not null and source is not null and text is not null")
+    return widen(src).mapInPandas(run, "doc_id bigint, source string, tokens bigint")
 
 
 def water_fill(targets: dict[str, float], caps: dict[str, float], budget: float) -> dict[str, float]:

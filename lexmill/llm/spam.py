@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import widen
+
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"https?://|www\.|<a\s|\[[^\]]*\]\(")
 _TAG = re.compile(r"#\w")
@@ -186,7 +188,7 @@ def spam_scores(docs: DataFrame, often: int = 16, span: int = 2, id_col: str = "
             yield pd.DataFrame(rows, columns=[id_col, "words", "repeated", "outside", "either"])
 
     src = docs.select(F.col(id_col).alias("d"), F.col("text").alias("t")).where("d is not null and t is not null")
-    return src.mapInPandas(run, f"{id_col} {kind}, words bigint, repeated double, outside double, either double")
+    return widen(src).mapInPandas(run, f"{id_col} {kind}, words bigint, repeated double, outside double, either double")
 
 
 def spam_pages(docs: DataFrame, share: float = 0.5, least: int = 30, id_col: str = "doc_id") -> DataFrame:

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import widen
+
 U = np.uint64
 _WORD_CHAR = np.zeros(0x110000, dtype=bool)
 _READY = False
@@ -310,7 +312,7 @@ def symbol_rows(articles: DataFrame, least: int, batch_chars: int = 600_000) ->
             yield flush()
 
     src = articles.where("slug is not null and body is not null").where(F.length("body") >= least).select("slug", F.xxhash64("slug").alias("rec"), "body")
-    return src.mapInPandas(run, _SYMBOLS)
+    return widen(src).mapInPandas(run, _SYMBOLS)
 
 
 _MET = "name bigint, line bigint, start int, text string, r1 bigint, r2 bigint"

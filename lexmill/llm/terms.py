@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 _WORD = re.compile(r"[^\W_]+")
 _GONE = {0xAD: None, 0x200B: None}
 
@@ -117,7 +119,7 @@ def count_words(df: DataFrame, record: str, text: str, limit: int = 300_000) ->
 
     # Copies of a record meet in one task: the key is shuffled as a 64-bit hash pair beside the text.
     src = df.select(F.col(record).alias("r"), F.col(text).alias("t")).where("r is not null and t is not null")
-    src = src.repartition("r").select(F.xxhash64("r", F.length("r")).alias("k"), "t")
+    src = spread(src, "r").select(F.xxhash64("r", F.length("r")).alias("k"), "t")
     return _merge(src.mapInPandas(run, _OUT))
 
 
