@@ -45,3 +45,33 @@ def suppressed(run: Column, approved: list[str]) -> Column:
     for p in approved:
         out = out | F.contains(F.lit(p), run) | F.contains(run, F.lit(p))
     return out
+
+
+def quotes(lines: DataFrame, value: str = "value") -> DataFrame:
+    """quote, headline, date of '::quote a | b | c' lines."""
+    body = F.regexp_extract(value, r"^::quote\s+(.*)$", 1)
+    parts = F.transform(F.split(body, r"\|"), lambda x: F.trim(x))
+    return lines.where(F.col(value).startswith("::quote ")).select(F.get(parts, F.lit(0)).alias("quote"), F.get(parts, F.lit(1)).alias("headline"), F.get(parts, F.lit(2)).alias("date"))
+
+
+def audit(found: DataFrame, articles: DataFrame) -> DataFrame:
+    """quote, slug, class: 'verbatim' where the article of that headline holds the quote (both canonical), 'altered' where it
+    doesn't, 'unknown' without such an article.  found: quote, headline; articles: slug, title, body."""
+    from lexmill.functions import text
+
+    q = found.select("quote", "headline", text.canon(F.col("headline")).alias("h"), text.canon(F.col("quote")).alias("q"))
+    a = articles.select("slug", text.canon(F.col("title")).alias("h"), text.canon(F.col("body")).alias("b"))
+    j = q.join(a, "h", "left")
+    held = F.max(F.when(F.contains(F.concat(F.lit(" "), "b", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 1).otherwise(0))
+    g = j.groupBy("quote", "headline").agg(F.min("slug").alias("slug"), held.alias("held"))
+    return g.select("quote", "headline", "slug", F.when(F.col("slug").isNull(), "unknown").when(F.col("held") == 1, "verbatim").otherwise("altered").alias("class"))
+
+
+def leak_check(public: DataFrame, private: DataFrame, kp: str, ks: str, n: int, approved: list[str], names: Column | None = None) -> DataFrame:
+    """Runs of n or more words of private texts in public ones, without approved phrases and runs of names only.
+
+    public, private: key and w (words).  Result: keys, run, words."""
+    runs = maximal_runs(public, private, kp, ks, n)
+    spelled = runs.join(public, kp).select(kp, ks, F.array_join(F.slice("w", F.col("a_pos").cast("int") + 1, F.col("words").cast("int")), " ").alias("run"), "words")
+    out = spelled.where(~suppressed(F.col("run"), approved))
+    return out.where(~entity_only(F.col("run"), names)) if names is not None else out

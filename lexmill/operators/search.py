@@ -35,3 +35,16 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = part.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     return inside.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_b") + F.col("_n") - 1).cast("bigint").alias(name))  # one row per partition
+
+
+def page(numbered_rows: DataFrame, number: str, page_no: int, size: int = 60) -> DataFrame:
+    """One page of numbered rows."""
+    return numbered_rows.where(F.col(number).between(page_no * size, (page_no + 1) * size - 1))
+
+
+def year_band(df: DataFrame, filters: dict[str, Column], year: str) -> DataFrame:
+    """Counts per year under all filters but the year's own."""
+    for name, f in filters.items():
+        if name != year:
+            df = df.where(f)
+    return df.groupBy(year).agg(F.count("*").alias("n"))

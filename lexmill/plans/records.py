@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import dates, text, urls
-from lexmill.operators import entities, overlap, records
+from lexmill.operators import entities, history, overlap, records, search
 from lexmill.plans.corpus import ART, art, iso
 from lexmill.sources.tables import table
 from lexmill.streaming import limiter
@@ -198,6 +198,38 @@ def json_props(spark, d):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
+def best_retrieval(spark, d):
+    """Of each article's retrievals the live one before the archive's, of those the earliest."""
+    p = table(spark, d, "provenance").where("slug is not null").select("slug", "prov_id", "source_type", "retrieved_at")
+    return history.best_route(p, "slug", F.when(F.col("source_type") == "live", 0).otherwise(1), "retrieved_at")
+
+
+def byline_rules(spark, d):
+    """Verdict, source and scope of each article by its byline and the places it was discovered at."""
+    src = table(spark, d, "provenance").where("slug is not null").groupBy("slug").agg(F.collect_set("discovered_via").alias("sources"))
+    a = art(spark, d).join(src, "slug", "left")
+    f = history.byline_fields(history.tidy_byline(F.col("byline_raw")), F.coalesce("sources", F.array().cast("array<string>")), "varrick", "around-the-gridiron")
+    return a.select("slug", f.alias("f")).groupBy("f.verdict", "f.source", "f.scope").agg(F.count("*").alias("n"))
+
+
+def leak_check(spark, d):
+    """Runs of eight words or more of the evaluation items in the documents, without one approved phrase."""
+    docs = overlap.words(table(spark, d, "documents").where("text is not null"), "doc_id", text.canon(F.col("text")))
+    items = overlap.words(table(spark, d, "eval_items"), "item_id", text.canon(F.col("text")))
+    return overlap.leak_check(docs, items, "doc_id", "item_id", 8, ["using only the passage above"])
+
+
+def year_band(spark, d):
+    a = art(spark, d).withColumn("year", F.substring(dates.norm_date(F.coalesce("date", F.lit(""))), 1, 4))
+    return search.year_band(a, {"year": F.col("year") == "2018", "format": F.col("format") == "ranking"}, "year")
+
+
+def search_page(spark, d):
+    """The third page of sixty of the articles in order of date."""
+    a = art(spark, d).select("slug", dates.norm_date(F.coalesce("date", F.lit(""))).alias("iso"))
+    return search.page(records.numbered(a, [F.desc("iso"), F.desc("slug")], "search_id"), "search_id", 2)
+
+
 # --- SQL --------------------------------------------------------------------------------------------------------------
 
 
@@ -255,10 +287,16 @@ SQL = {
     "limiter_windows": "select user_id::varchar client, floor(epoch(ts) / 86400)::bigint bucket, count(*)::bigint attempts, least(count(*), 3)::bigint stored from events group by 1, 2",
     "limiter_decisions": "with r as (select row_number() over (partition by user_id, floor(epoch(ts) / 86400) order by ts, event_id) <= 3 allowed from events) select allowed, count(*)::bigint n from r group by 1",
     "session_valid": "with f as (select user_id, date_trunc('day', ts) d, min(ts) i from events group by 1, 2) select ts < i + interval 12 hours \"valid\", count(*)::bigint n from events e join f on e.user_id = f.user_id and date_trunc('day', e.ts) = f.d group by 1",
+    "best_retrieval": "with m as (select slug, min({'p': case when source_type = 'live' then 0 else 1 end, 's': retrieved_at, 'i': prov_id, 't': source_type}) x from provenance where slug is not null group by slug) select slug, x.i prov_id, x.t source_type, x.s retrieved_at from m",
+    "byline_rules": "with " + ART + ", t as (select slug, trim(regexp_replace(coalesce(byline_raw, ''), '(?i)^By\\s+', ''), ' ') b from art), r as (select slug, case when lower(b) in ('no author name', 'unknown', 'n/a', 'none') then '' else b end b from t), s as (select slug, coalesce(bool_or(contains(discovered_via, 'varrick') and (contains(discovered_via, '/author/') or contains(discovered_via, '/writer/'))), false) a, coalesce(bool_or(regexp_matches(discovered_via, '/(?:news|blogs)/around-the-gridiron(?:[/_]|$)')), false) i from provenance group by slug)"
+    " select case when regexp_matches(b, '(?i)\\bvarrick\\b') then 'varrick' when b <> '' then 'other' else 'unparsed' end verdict, case when coalesce(a, false) then 'author-page' else 'section-page' end source, case when regexp_matches(b, '(?i)\\bvarrick\\b') then 'varrick' when b <> '' and coalesce(i, false) then 'section' else 'unresolved' end scope, count(*)::bigint n from r left join s using (slug) group by 1, 2, 3",
+    "year_band": "with " + ART + f" select left({iso('coalesce(date, ' + repr('') + ')')}, 4) \"year\", count(*)::bigint n from art where format = 'ranking' group by 1",
+    "search_page": "with " + ART + f", i as (select slug, {iso('coalesce(date, ' + repr('') + ')')} iso from art), n as (select slug, iso, (row_number() over (order by iso desc, slug desc) - 1)::bigint search_id from i) select * from n where search_id between 120 and 179",
     "json_props": "select event_type, (props->>'$.k')::bigint k, count(*)::bigint n from events group by 1, 2",
 }
+SQL["leak_check"] = _RUNS + ", s as (select doc_id, item_id, array_to_string(list_slice(d.w, r.b_pos + 1, r.b_pos + r.words), ' ') run, words from r join d using (doc_id)) select doc_id, item_id, run, words from s where not contains('using only the passage above', run) and not contains(run, 'using only the passage above')"
 QUERIES = {f.__name__: f for f in (
     url_clean, url_kind, url_views, url_merge, first_capture_of_month, earliest_capture, captures_by_day, unfetched, status_counts, outcome_counts, latest_event, tail_events, retryable, fixed_failures, milestones,
     byline_split, byline_names, norm_dates, decile_bands, systematic_sample, stratified_sample, team_entities, player_entities, title_rules, overlap_pairs, overlap_runs, verbatim_audit,
-    limiter_windows, limiter_decisions, session_valid, json_props,
+    best_retrieval, byline_rules, leak_check, year_band, search_page, limiter_windows, limiter_decisions, session_valid, json_props,
 )}
