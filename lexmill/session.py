@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     d = getattr(shared_dir, "_own", None)
     if d is None:
         d = shared_dir._own = tempfile.mkdtemp(prefix="lexmill-")  # type: ignore[attr-defined]
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     return "file://" + d
 
 
