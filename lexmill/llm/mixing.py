@@ -87,7 +87,7 @@ def _bucketed(counts: DataFrame, seed: int, buckets: int) -> DataFrame:
     return counts.withColumn("h", h).withColumn("bucket", F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def plan_mix(counts: DataFrame, targets: DataFrame, budget: float | None, seed: int, buckets: int = 256) -> list[dict]:
+def plan_mix(counts: DataFrame, targets: DataFrame, budget: float | None, seed: int, buckets: int = 1024) -> list[dict]:
     """One entry per source of targets: available and allotted tokens, whole repetitions, and where the fraction ends.
 
     Only sums by source and hash bucket come to the driver (sources x buckets numbers)."""
@@ -116,7 +116,7 @@ def plan_mix(counts: DataFrame, targets: DataFrame, budget: float | None, seed:
 _PLAN = "source string, target_share double, max_repeats int, available bigint, allotted double, whole int, cut int, room double"
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 7, buckets: int = 256, vocabulary: str = VOCABULARY, cut=None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 7, buckets: int = 1024, vocabulary: str = VOCABULARY, cut=None) -> tuple[DataFrame, DataFrame]:
     """(mix, shares).  mix: doc_id, source, tokens, copies for documents that are in it.  shares: one row per source of
     targets with what it should give and what it really gives.  budget: total tokens; all available tokens if None.
     cut writes the token counts once (they are read three times)."""
