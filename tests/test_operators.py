@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,4 +83,4 @@ def test_entities(spark):
     got = {(r.slug, r.name) for r in entities.matches(d, "slug", F.col("body"), entities.aliases(t, "name", "alias")).collect()}
     assert got == {("1", "Umber Dust Devils"), ("1", "Alpha")}
     r = spark.range(1).select(entities.article_format(F.lit("Top 10 things"), F.lit("")).alias("a"), entities.article_format(F.lit("X"), F.lit("w " * 700)).alias("b"), entities.byline_names(F.lit("A B and C D, A B")).alias("n")).first()
-    assert (r.a, r.b, r.n) == ("ranking", "column", ["A B", "C D"]) and math.isfinite(1)
+    assert (r.a, r.b, r.n) == ("ranking", "column", ["A B", "C D"])
