@@ -3,15 +3,15 @@
 1. Every distinct spelling is read once: role and "by" dropped, "last, first" turned round; joint bylines, placeholders and
    addresses name nobody single.
 2. Tokens meet in a prefix-filtered set-similarity join on their q-grams: the q-grams are ordered by rarity, only the rare
-   prefix that a similar token must share is joined, lengths and edits are verified.  A token of few spellings that is
-   a small edit away from one of many is a misspelling of it.
+   prefix that a similar token must share is joined, lengths and edits are verified.  A token that is a small edit away
+   from a commoner one is a misspelling of it: ratios decide, of spellings or of uses, never a number of either.
 3. Spellings with one surname are told apart by their first names: nicknames (from the roster and a fixed list), initials
    and misspellings go to the person they fit, if there is just one.  Organisations go by their rare tokens and by acronyms.
 4. A spelling stays with its entity if it is similar to the entity's commonest spelling by soft token similarity in which
    tokens weigh by rarity.
 
-Null and empty values, and values that name two, give nothing.  Which spellings exist counts, not how often, so a writer
-with a third of all rows is no hot spot; nothing but distinct spellings is shuffled after the first, combining count.
+Null and empty values, and values that name two, give nothing.  A writer with a third of all rows is no hot spot:
+nothing but distinct spellings, with their counts, is shuffled after the first, combining count.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -133,8 +133,11 @@ def grams(token: str) -> list[str]:
     return sorted({t[i : i + Q] for i in range(len(t) - Q + 1)})
 
 
-def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens: token, spellings (count).  Result: token, canon -- the token it is a misspelling of.
+def similar_tokens(tokens: DataFrame, cut: Callable) -> DataFrame:
+    """tokens: token, spellings (count), uses (of all its spellings).  Result: token, canon -- the token it is a misspelling of.
+
+    One edit needs a third more spellings, two need three times as many, or either ten times the uses.  A token goes to the
+    nearest, then commonest such token, and with that one on to the end of the chain, however long.
 
     d edits change at most d * (Q + 1) q-grams (a swap changes Q + 1), so similar tokens share all but that many and thus
     one of the d * (Q + 1) + 1 rarest q-grams of either: only that prefix is joined."""
@@ -143,28 +146,37 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     def gram_udf(t: str) -> list[str]:
         return grams(t)
 
-    base = tokens.where(F.length("token") >= 4).select("token", "spellings", F.explode(gram_udf("token")).alias("g"))
+    base = tokens.where(F.length("token") >= 4).select("token", "spellings", "uses", F.explode(gram_udf("token")).alias("g"))
     rarity = base.groupBy("g").agg(F.count("*").alias("df"))  # at most (letters + 2)^Q rows
     w = Window.partitionBy("token").orderBy("df", "g")
     keep = F.when(F.length("token") < 7, 1).otherwise(2) * (Q + 1) + 1
-    prefix = base.join(rarity, "g").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("g", "token", "spellings")
-    a = prefix.where("spellings <= 3").select("g", F.col("token").alias("a"), F.col("spellings").alias("na"))
-    b = prefix.where("spellings >= 3").select("g", F.col("token").alias("b"), F.col("spellings").alias("nb"))
-    near = (F.abs(F.length("a") - F.length("b")) <= 2) & (F.col("nb") > F.col("na")) & (F.col("a") != F.col("b"))
-    pairs = a.join(b, "g").where(near).select("a", "b", "na", "nb").distinct()
+    prefix = base.join(rarity, "g").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    a, b = (prefix.select("g", F.col("token").alias(t), F.col("spellings").alias(f"n{t}"), F.col("uses").alias(f"u{t}")) for t in "ab")
+    # Links go up in spellings, then uses, so they make no circle; which way a pair is linked doesn't matter to the result.
+    commoner = F.struct("nb", "ub") > F.struct("na", "ua")
+    many = F.greatest("ua", "ub") >= 10 * F.least("ua", "ub")
+    near = (F.abs(F.length("a") - F.length("b")) <= 2) & commoner & (many | (3 * F.col("nb") >= 4 * F.col("na")))
+    most = F.when(many | (F.col("nb") >= 3 * F.col("na")), 2).otherwise(1)
+    pairs = a.join(b, "g").where(near).select("a", "b", "nb", most.alias("most")).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for x, y, k, n in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"]):
-                m = min(allowed(min(len(x), len(y))), 2 if n >= 3 * k else 1)
+            for x, y, n, most in zip(pdf["a"], pdf["b"], pdf["nb"], pdf["most"]):
+                m = min(allowed(min(len(x), len(y))), most)
                 d = edits(x, y, m)
                 if d <= m:
                     rows.append((x, y, d, n))
             yield pd.DataFrame(rows, columns=["token", "canon", "d", "n"])
 
     ok = pairs.mapInPandas(verify, "token string, canon string, d int, n bigint")
-    return ok.groupBy("token").agg(F.min(F.struct("d", (-F.col("n")).alias("n"), "canon")).alias("best")).select("token", F.col("best.canon").alias("canon"))
+    link = cut(ok.groupBy("token").agg(F.min(F.struct("d", (-F.col("n")).alias("n"), "canon")).alias("best")).select("token", F.col("best.canon").alias("canon")), "links")
+    while True:  # each round doubles the steps, so a chain takes as many rounds as its length has binary digits
+        on = link.alias("x").join(link.alias("y"), F.col("x.canon") == F.col("y.token"), "left")
+        link = cut(on.select("x.token", F.coalesce("y.canon", "x.canon").alias("canon"), F.col("y.canon").isNotNull().alias("moved")), "links")
+        if link.where("moved").isEmpty():
+            return link.select("token", "canon")
+        link = link.select("token", "canon")
 
 
 def formal_names(roster: DataFrame | None) -> dict[str, set[str]]:
@@ -283,11 +295,9 @@ def entities(bylines: DataFrame, roster: DataFrame | None, cut, column: str = "b
             yield pd.DataFrame(rows, columns=["value", "n", "kind", "first", "middle", "last", "tokens"])
 
     read = cut(values.mapInPandas(parse, "value string, n bigint, kind string, first string, middle string, last string, tokens array<string>"), "bylines")
-    lasts = read.where("kind = 'person'").groupBy(F.col("last").alias("token")).agg(F.countDistinct("first", "middle").alias("forms"), F.count("*").alias("spellings"))
-    orgs = read.where("kind = 'org'").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("spellings"))
-    link = cut(similar_tokens(lasts.select("token", "spellings")), "lastnames")
-    # A misspelling of a misspelling goes where that goes.
-    link = link.alias("x").join(link.alias("y"), F.col("x.canon") == F.col("y.token"), "left").select("x.token", F.coalesce("y.canon", "x.canon").alias("canon"))
+    lasts = read.where("kind = 'person'").groupBy(F.col("last").alias("token")).agg(F.count("*").alias("spellings"), F.sum("n").alias("uses"))
+    orgs = read.where("kind = 'org'").select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("spellings"), F.sum("n").alias("uses"))
+    link = similar_tokens(lasts, cut)
     people = read.where("kind = 'person'").join(link.withColumnRenamed("token", "last"), "last", "left").withColumn("surname", F.coalesce("canon", "last"))
     forms = people.groupBy("surname", "first", "middle").agg(F.count("*").alias("spellings"))
 
@@ -299,7 +309,7 @@ def entities(bylines: DataFrame, roster: DataFrame | None, cut, column: str = "b
     formal = forms.groupBy("surname").applyInPandas(resolve, "surname string, first string, middle string, formal string").where("formal <> ''")
     named = people.join(formal, ["surname", "first", "middle"]).select("value", "n", "tokens", F.concat_ws("|", F.lit("p"), "surname", "formal").alias("entity"))
 
-    org_link = similar_tokens(orgs)
+    org_link = similar_tokens(orgs, cut)
     generic = F.array(*[F.lit(g) for g in sorted(GENERIC)])
     words = read.where("kind = 'org'").select("value", "n", "tokens", F.posexplode("tokens").alias("at", "token")).join(org_link, "token", "left")
     whole = words.groupBy("value").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canon", "token").alias("t")))), lambda x: x["t"]).alias("canon"))

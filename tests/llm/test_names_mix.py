@@ -43,6 +43,20 @@ def test_entities(spark):
     assert names.entities(df.limit(0), roster.limit(0), cut).count() == 0
 
 
+def test_misspelt_tokens_by_ratio_not_number(spark):
+    """A misspelling in four values, a right name in two, misspellings of misspellings, and as common names that stay apart."""
+    forms = ["Jon {}", "By Jon {}", "J. {}", "{}, Jon", "jon {}", "Jon {}, Staff Writer", "JON {}", "Jon  {}"]
+    often = [f.format("Smithers") for f in forms] + [f.format("Smtihers") for f in forms[:4]]
+    rare = ["Kate Tillwood", "By Kate Tillwood", "Kate Tillwodo"]
+    chain = [f.format(n) for n, k in (("Abcdefghijkl", 8), ("Bbcdefghijkl", 5), ("Bccdefghijkl", 3), ("Bcddefghijkl", 2), ("Bcdeefghijkl", 1)) for f in forms[:k]]
+    apart = [[f.format(n) for f in forms] for n in ("Hansen", "Hanson")]
+    df = spark.createDataFrame([(v,) for v in often + rare + chain + sum(apart, [])], "byline_raw string")
+    e = {}
+    for r in names.entities(df, None, cut, least=0.5).collect():
+        e.setdefault(r.entity, set()).add(r.value)
+    assert sorted(map(sorted, e.values())) == sorted(map(sorted, (often, rare, chain, *apart)))
+
+
 def test_tokens_equal_the_public_tokenizer():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
