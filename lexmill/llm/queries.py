@@ -40,9 +40,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Each body without the lines that are excessive in its source and their near-duplicates."""
+    """Each body without the lines that are excessive in its source, alone or with their near-duplicates, and these."""
     a = table(spark, d, "articles")
-    return lines.without_lines(a, lines.repeated_lines(a, cut).unionByName(lines.near_lines(a, cut)).distinct())
+    start = lines.frequent_lines(a, cut)
+    return lines.without_lines(a, lines.repeated_lines(a, cut, start=start).unionByName(lines.near_lines(a, cut, start=start)).distinct())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

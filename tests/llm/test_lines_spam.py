@@ -53,6 +53,24 @@ def test_near_duplicates_of_excessive_lines(spark):
     assert {tuple(r) for r in lines.near_lines(df, cut).collect()} == {("t", 0)}
 
 
+def test_near_duplicates_of_every_excessive_line_and_templates(spark):
+    """Lines that no document repeats literally, and near-duplicates of each of two excessive lines that share a bucket."""
+    first = ["Alda", "Bea", "Cleo", "Dora", "Edda", "Fay", "Gwen", "Hal"]
+    photo = [(f"p{i}", "a", "v", f"Photo: {f} {'Mid ' * (i % 3)}Roe for {f} Agency\n{f} Roe\n{f} Stands {i}", 0, "") for i, f in enumerate(first)]
+    sign = [(f"q{i}", "b", "v", f"{f} Roe writes about the local game for {f} Press", 0, "") for i, f in enumerate(first)]
+    rnd, sig, same = random.Random(3), lines.Signatures(), False
+    while not same:  # two lines of little similarity that share both buckets, with their near-duplicates
+        head = " ".join(rnd.choices("come to great fair of our town on green this week".split(), k=10))
+        text, far = f"{head} and bring all of your friends with you", f"{head} until every last lamp is out for us"
+        same = all(len(set(c.tolist())) == 1 for c in sig.of([x.split() for y in (text, far) for x in (y, y + " now")]))
+    pairs = []
+    for j, base in enumerate((text, far)):
+        pairs += [(f"{j}r{i}", "c", "v", base, 0, "") for i in range(8)] + [(f"{j}near", "c", "v", base + " now", 0, "")]
+    df = spark.createDataFrame(photo + sign + pairs, ART)
+    got = {tuple(r) for r in lines.near_lines(df, cut).collect()}
+    assert got == {(r[0], 0) for r in photo + sign} | {("0near", 0), ("1near", 0)}
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.integers(2, 4), st.integers(1, 3))
 def test_automaton_covers_what_repeated_windows_cover(tokens, repeats, span):
