@@ -117,3 +117,13 @@ def maximal_phrases(terms: DataFrame, run_rows: DataFrame, key: str, cut: Callab
     best_first = Window.partitionBy("phrase").orderBy(F.desc("z"), "term")
     out = spelled.join(terms.select("term", "z", "df"), "term")
     return out.withColumn("rn", F.row_number().over(best_first)).where("rn = 1").select("phrase", "term", "z", "df")
+
+
+def ranked_phrases(ranked: DataFrame, run_rows: DataFrame, key: str, cut: Callable, pool: int = 600) -> DataFrame:
+    """The whole ranking with the phrases of its head: the ``pool`` best terms are grown, the others stay as they are, less
+    those that spell a phrase of the head.  ranked: term, z, df.  Result: phrase, term, z, df."""
+    ranked = cut(ranked.select("term", "z", "df"), "ranked")
+    head = cut(ranked.orderBy(F.desc("z"), "term").limit(pool), "pool")
+    grown = cut(maximal_phrases(head, run_rows, key, cut), "phrases")
+    tail = ranked.join(head.select("term"), "term", "left_anti").join(grown.select(F.col("phrase").alias("term")), "term", "left_anti")
+    return grown.unionByName(tail.withColumn("phrase", F.col("term")))

@@ -96,8 +96,7 @@ def voice_terms(spark, d):
 def maximal_phrases(spark, d):
     runs = cut(_runs(spark, d, clean=True, proper=True).where("side = 'target'"), "runs")
     both = corpus.log_odds(corpus.term_counts(_runs(spark, d, clean=True, proper=True), "slug", "side", (1, 2, 3, 4)), "df")
-    pool = corpus.collapse_nested(cut(both, "scored")).orderBy(F.desc("z"), "term").limit(600)  # the pool of the report
-    return _round(corpus.maximal_phrases(cut(pool.select("term", "z", "df"), "pool"), runs, "slug", cut))
+    return _round(corpus.ranked_phrases(corpus.collapse_nested(cut(both, "scored")), runs, "slug", cut))
 
 
 def break_runs(spark, d):

@@ -38,6 +38,15 @@ def test_maximal_phrases(spark):
     assert short == {"kay cabot of the"}
 
 
+def test_ranked_phrases_keep_the_tail(spark):
+    docs = [(f"d{i}", 0, 0, ["kay", "cabot", "of", "town", f"w{i}"]) for i in range(5)]
+    runs = spark.createDataFrame(docs, "slug string, s int, run int, tokens array<string>")
+    terms = [("cabot of", 3.0, 5), ("kay cabot of town", 2.0, 5), ("town", 1.0, 5), ("kay", 0.5, 5)]
+    df = spark.createDataFrame(terms, "term string, z double, df bigint")
+    got = {tuple(r) for r in corpus.ranked_phrases(df, runs, "slug", cut, pool=1).select("phrase", "term", "z", "df").collect()}
+    assert got == {("kay cabot of town", "cabot of", 3.0, 5), ("town", "town", 1.0, 5), ("kay", "kay", 0.5, 5)}
+
+
 def test_profile(spark):
     rows = [("a", "x\n" + " ".join(["w"] * n) + ".") for n in (1, 2, 3, 4)] + [("a", None), ("b", "I don't know. We do")]
     df = spark.createDataFrame(rows, "g string, body string")
