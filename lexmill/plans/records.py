@@ -44,12 +44,19 @@ def earliest_capture(spark, d):
 
 
 def captures_by_day(spark, d):
-    """Every day of the captures' first year, with captures or without."""
+    """Every day of 2014, with captures or without; ``captures_by_every_day`` has all days."""
     c = table(spark, d, "capture_rows").where("timestamp rlike '^[0-9]{14}$'").select(F.try_to_date(F.substring("timestamp", 1, 8), "yyyyMMdd").alias("day")).groupBy("day").agg(F.count("*").alias("captures"))
     days = records.calendar(spark, "2014-01-01", "2014-12-31")
     return days.join(c, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("captures", F.lit(0)).alias("captures"), F.when(F.col("captures").isNull(), "no_capture").otherwise("captured").alias("state"))
 
 
+def captures_by_every_day(spark, d):
+    """Every day from the first capture's to the last one's, with captures or without."""
+    c = table(spark, d, "capture_rows").where("timestamp rlike '^[0-9]{14}$'").select(F.try_to_date(F.substring("timestamp", 1, 8), "yyyyMMdd").alias("day")).where("day is not null").groupBy("day").agg(F.count("*").alias("captures"))
+    days = c.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))  # one row a day
+    return days.join(c, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("captures", F.lit(0)).alias("captures"), F.when(F.col("captures").isNull(), "no_capture").otherwise("captured").alias("state"))
+
+
 def unfetched(spark, d):
     """Addresses of article kind without a successful fetch."""
     u = table(spark, d, "url_entries").where("kind not in ('index', 'nav', 'pagination')").select("url").distinct()
@@ -265,6 +272,7 @@ SQL = {
     "first_capture_of_month": f"select {clean('original')} url, left(timestamp, 6) \"month\", min(timestamp) \"timestamp\" from capture_rows where statuscode = '200' group by 1, 2",
     "earliest_capture": f"with c as (select {clean('original')} clean, timestamp ts, original from capture_rows where timestamp is not null), k as (select {_KEY} \"key\", ts, original from c) select \"key\", min({{'t': ts, 'o': original}}).t \"timestamp\", min({{'t': ts, 'o': original}}).o original from k group by 1",
     "captures_by_day": "with c as (select try_strptime(left(timestamp, 8), '%Y%m%d')::date \"day\", count(*) n from capture_rows where regexp_matches(timestamp, '^[0-9]{14}$') group by 1), days as (select unnest(generate_series(date '2014-01-01', date '2014-12-31', interval 1 day))::date \"day\") select strftime(days.\"day\", '%Y-%m-%d') \"day\", coalesce(n, 0)::bigint captures, case when n is null then 'no_capture' else 'captured' end state from days left join c on days.\"day\" = c.\"day\"",
+    "captures_by_every_day": "with c as (select try_strptime(left(timestamp, 8), '%Y%m%d')::date \"day\", count(*) n from capture_rows where regexp_matches(timestamp, '^[0-9]{14}$') group by 1), days as (select unnest(generate_series(min(\"day\"), max(\"day\"), interval 1 day))::date \"day\" from c) select strftime(days.\"day\", '%Y-%m-%d') \"day\", coalesce(n, 0)::bigint captures, case when n is null then 'no_capture' else 'captured' end state from days left join c on days.\"day\" = c.\"day\"",
     "unfetched": "select distinct url from url_entries where kind not in ('index', 'nav', 'pagination') and not exists (select 1 from fetch_events f where f.url = url_entries.url and f.outcome = 'ok')",
     "status_counts": "select kind, status, count(*)::bigint n from url_entries group by 1, 2",
     "outcome_counts": f"with {_EV} select phase, outcome, count(*)::bigint n, count(distinct url)::bigint urls from ev group by 1, 2",
@@ -296,7 +304,7 @@ SQL = {
 }
 SQL["leak_check"] = _RUNS + ", s as (select doc_id, item_id, array_to_string(list_slice(d.w, r.b_pos + 1, r.b_pos + r.words), ' ') run, words from r join d using (doc_id)) select doc_id, item_id, run, words from s where not contains('using only the passage above', run) and not contains(run, 'using only the passage above')"
 QUERIES = {f.__name__: f for f in (
-    url_clean, url_kind, url_views, url_merge, first_capture_of_month, earliest_capture, captures_by_day, unfetched, status_counts, outcome_counts, latest_event, tail_events, retryable, fixed_failures, milestones,
+    url_clean, url_kind, url_views, url_merge, first_capture_of_month, earliest_capture, captures_by_day, captures_by_every_day, unfetched, status_counts, outcome_counts, latest_event, tail_events, retryable, fixed_failures, milestones,
     byline_split, byline_names, norm_dates, decile_bands, systematic_sample, stratified_sample, team_entities, player_entities, title_rules, overlap_pairs, overlap_runs, verbatim_audit,
     best_retrieval, byline_rules, leak_check, year_band, search_page, limiter_windows, limiter_decisions, session_valid, json_props,
 )}
