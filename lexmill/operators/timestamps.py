@@ -158,6 +158,11 @@ def estimate_zones(stamps: DataFrame, declared: DataFrame) -> DataFrame:
     return every.join(best, "source", "left").select("source", F.coalesce("b.cand", "declared").alias("zone"), "declared", F.coalesce("b.evidence", F.lit(0)).alias("evidence"), F.coalesce("b.violations", F.lit(0)).alias("violations"))
 
 
+def first_seen(captures: DataFrame) -> DataFrame:
+    """slug, seen: the earliest instant of a slug's captures, which are parsed with ``parse_stamps``."""
+    return captures.where("timed").groupBy("slug").agg(F.min(to_utc(F.col("local"), F.coalesce("zone", F.lit("UTC")))).alias("seen"))
+
+
 def normalise(articles: DataFrame, provenance: DataFrame, sites: DataFrame) -> DataFrame:
     """field, row_key, normal_form of articles.date and provenance.wayback_timestamp (see the module's docstring).
 
@@ -169,7 +174,7 @@ def normalise(articles: DataFrame, provenance: DataFrame, sites: DataFrame) -> D
     a = parse_stamps(a, "date", "date_order").select("slug", "site", "local", "timed", "zone")
     w = provenance.select("prov_id", "slug", "wayback_timestamp").where("wayback_timestamp is not null").distinct()
     w = parse_stamps(w.withColumn("ord", F.lit("mdy")), "wayback_timestamp", "ord")
-    captured = w.where("timed").groupBy("slug").agg(F.min(to_utc(F.col("local"), F.coalesce("zone", F.lit("UTC")))).alias("seen"))
+    captured = first_seen(w)
     stamps = a.where("timed").join(captured, "slug", "left").select(F.col("site").alias("source"), "local", "zone", "seen")
     zones = estimate_zones(stamps, place.select(F.col("site").alias("source"), F.col("tz").alias("zone")))
     clock = zones.select(F.col("source").alias("site"), F.col("zone").alias("clock"))

@@ -18,7 +18,9 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "articles").select("slug", "site", "date").where("date is not null").distinct()
     place = table(spark, d, "sites")
     a = timestamps.parse_stamps(a.join(F.broadcast(place.select("site", "date_order")), "site", "left"), "date", "date_order")
-    stamps = a.where("timed").select(F.col("site").alias("source"), "local", "zone", F.lit(None).cast("timestamp_ntz").alias("seen"))
+    w = table(spark, d, "provenance").select("prov_id", "slug", "wayback_timestamp").where("wayback_timestamp is not null").distinct()
+    seen = timestamps.first_seen(timestamps.parse_stamps(w.withColumn("ord", F.lit("mdy")), "wayback_timestamp", "ord"))
+    stamps = a.where("timed").join(seen, "slug", "left").select(F.col("site").alias("source"), "local", "zone", "seen")
     undeclared = place.select(F.col("site").alias("source"), F.lit(None).cast("string").alias("zone"))
     est = timestamps.estimate_zones(stamps, undeclared).drop("declared")
     return est.join(place.select(F.col("site").alias("source"), F.col("tz").alias("declared")), "source", "left")

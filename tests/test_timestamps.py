@@ -38,6 +38,19 @@ def test_dates_and_stamps(spark):
     assert T.normalise(a.limit(0), p.limit(0), s.limit(0)).count() == 0
 
 
+def test_zones_query_uses_captures(spark, tmp_path):
+    """A site whose values state no offset gets its zone from the captures of its pages."""
+    from lexmill.plans.timestamps import p4_zones
+
+    days = spark.range(0, 700, 9).select(F.col("id"), F.timestamp_add("HOUR", F.col("id") * 24 + F.col("id") % 24, F.expr("timestamp_ntz'2018-01-01 00:30:00'")).alias("local"))
+    days.select(F.concat(F.lit("s"), "id").alias("slug"), F.lit("x").alias("site"), F.date_format("local", "yyyy-MM-dd HH:mm:ss").alias("date")).write.parquet(f"{tmp_path}/articles.parquet")
+    at = F.timestamp_add("MINUTE", F.lit(40), T.to_utc(F.col("local"), F.lit(NY)))
+    days.select("id", F.concat(F.lit("s"), "id").alias("slug"), F.date_format(at, "yyyyMMddHHmmss").alias("wayback_timestamp")).withColumnRenamed("id", "prov_id").write.parquet(f"{tmp_path}/provenance.parquet")
+    spark.createDataFrame([("x", BER, "mdy")], "site string, tz string, date_order string").write.parquet(f"{tmp_path}/sites.parquet")
+    got = p4_zones(spark, str(tmp_path)).first()
+    assert got.zone is not None and got.evidence == days.count() and got.declared == BER
+
+
 @pytest.mark.parametrize("zone", [NY, LON, BER, PHX])
 def test_zone_is_estimated_from_stated_offsets_and_ingestion(spark, zone):
     days = spark.range(0, 700, 9).select(F.timestamp_add("HOUR", F.col("id") * 24 + F.col("id") % 24, F.expr("timestamp_ntz'2018-01-01 00:30:00'")).alias("local"))
