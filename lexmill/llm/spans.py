@@ -263,7 +263,7 @@ def symbol_rows(articles: DataFrame, least: int, batch_chars: int = 600_000) ->
     """One row for each chosen symbol of each line of ``least`` characters or more; off is where the line begins in the body."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             texts = list(held)
             got = chosen_symbols(texts, least)
             where = np.searchsorted(got["line"], np.arange(len(texts) + 1)) if (np.diff(got["line"]) >= 0).all() else None
@@ -285,10 +285,10 @@ def symbol_rows(articles: DataFrame, least: int, batch_chars: int = 600_000) ->
                     for c, v in zip(cols, (own[k], r, s, no, off, n)):
                         c.append(v)
             if not names:
-                return pd.DataFrame({"name": [], "line": [], "rec": [], "slug": [], "line_no": [], "off": [], "start": []})
+                return
             reps = np.array(cols[5])
             rep = lambda v, dt: np.repeat(np.array(v, dtype=dt), reps)
-            return pd.DataFrame({
+            yield pd.DataFrame({
                 "name": np.concatenate(names).view(np.int64), "line": rep(cols[0], np.uint64).view(np.int64), "rec": rep(cols[1], np.int64), "slug": rep(cols[2], object),
                 "line_no": rep(cols[3], np.int64), "off": rep(cols[4], np.int64), "start": np.concatenate(starts).astype(np.int32),
             })
@@ -306,10 +306,10 @@ def symbol_rows(articles: DataFrame, least: int, batch_chars: int = 600_000) ->
                         held[line].add((slug, rec, no, off))
                     off += len(line) + 1
                 if size >= batch_chars:
-                    yield flush()
+                    yield from flush()
                     held, size = {}, 0
         if held:
-            yield flush()
+            yield from flush()
 
     src = articles.where("slug is not null and body is not null").where(F.length("body") >= least).select("slug", F.xxhash64("slug").alias("rec"), "body")
     return widen(src).mapInPandas(run, _SYMBOLS)

@@ -86,3 +86,9 @@ def test_empty_and_long(spark):
     back = next(k for k in range(5) if k == 4 or long[999 - k] != "pre "[3 - k])
     got = {(r.slug, r.span_start, r.span_end) for r in spans.shared_spans(df, cut).collect()}
     assert got == {("a", 1000 - back, 90_000), ("b", 4 - back, 89_004)}
+
+
+def test_long_lines_that_share_no_symbol(spark):
+    rows = [("a", "x" * 150 + "\n" + "y" * 199), ("b", "z" * 190 + "\nq" * 200)]
+    df = spark.createDataFrame(rows, "slug string, body string").coalesce(1)
+    assert spans.shared_spans(df, cut).count() == 0
