@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -114,3 +115,48 @@ def test_spam(spark):
 def test_very_long_page():
     n, repeated, _, either = spam.spam_share("buy cheap shoes now " * 60_000)
     assert n == 240_000 and repeated > 0.99 and either > 0.99
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60), st.integers(2, 4), st.integers(1, 3), st.integers(0, 30))
+def test_cover_by_mass_against_brute_force(tokens, repeats, span, mass):
+    n, want = len(tokens), bytearray(len(tokens))
+    for k in range(span, n + 1):
+        windows = [tuple(tokens[i : i + k]) for i in range(n - k + 1)]
+        for i, w in enumerate(windows):
+            if (c := windows.count(w)) >= repeats and c * k >= mass:
+                want[i : i + k] = b"\1" * k
+    assert spam.repeated_cover(tokens, repeats, span, mass=mass) == want
+    assert spam.repeated_cover(tokens, repeats, span, longest=5, mass=mass) == want
+
+
+LEGAL = (
+    "The seller shall, unless the parties have agreed otherwise in writing before the goods were handed to the carrier, bear the cost of any return that the buyer makes within the period laid down above, and "
+    "neither a delay for which a third person answers nor a defect that could have been seen when the goods were taken over relieves the seller of this duty or gives the buyer a claim to more than the price that was paid. "
+    "Where a court of competent jurisdiction holds that a provision of this agreement cannot be enforced, what remains is to be read as if that provision had never been part of it, provided always that the purpose which "
+    "both sides pursued when they signed is still served and that nobody is thereby put in a worse position than the one in which performance as first promised would have left them."
+)
+
+
+@pytest.mark.parametrize(
+    "text,bad",
+    [
+        ("One coach in a small town told us over a long lunch that nothing in football ever stays the way it was. " * 12, True),
+        ("他说这场比赛对球队非常重要。球迷们一早就来到了球场，天气很冷。教练对结果表示满意，但他也指出了问题。门将扑出了两个点球。最后时刻球队攻入制胜一球。", False),
+        ("監督は試合後に選手たちを称えた。雨の中で行われた試合は最後まで目が離せなかった。観客は長い拍手を送った。次の試合は来週の土曜日に行われる。", False),
+        ("नई टीम ने मैच जीता और दर्शक खुश हुए। कोच ने कहा कि यह एक कठिन दिन था और सभी ने मेहनत की। अगला मैच रविवार को शहर में होगा और टिकट बिक चुके हैं।", False),
+        (LEGAL, False),
+        ("red shoes, blue shoes, running shoes, cheap boots, best sandals, shoe shop, outlet, sale, coupon, free delivery, new trainers, kids shoes, wide fit, leather, suede, laces, insoles, polish, winter boots, discount code.", True),
+    ],
+)
+def test_spam_in_any_language(text, bad):
+    n, _, _, either = spam.spam_share(text)
+    assert n >= 30 and (either > 0.5) == bad
+
+
+def test_rotating_phrases_on_a_long_page():
+    words = [f"w{i}" for i in range(4000)]
+    phrases = [f"buy {c} shoes online" for c in "red blue green black white".split()]
+    clauses = [f"{phrases[i % 5]} {' '.join(words[3 * i : 3 * i + 3])} {phrases[(i + 1) % 5]}." for i in range(200)]
+    assert spam.spam_share(" ".join(clauses))[1] > 0.6 and spam.spam_share(" ".join(clauses[:20]))[1] > 0.6
+    assert spam.spam_share(" ".join(f"{' '.join(words[12 * i : 12 * i + 12])}." for i in range(300)))[1] == 0
