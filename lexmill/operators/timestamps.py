@@ -2,9 +2,10 @@
 
 A value is parsed by declarative patterns on the JVM side into date parts, an optional time and an optional zone.
 A time without zone is on the clock of its source.  That clock is an *offset history* (an IANA zone): for every
-source all candidate histories are scored by the violations they cause -- a value that states its own offset
-contradicts the history, or the converted instant lies after the time at which the value was ingested -- and the
-history with fewest violations wins; a declared zone wins ties.  Then the local time is converted.
+source all histories are scored by what they violate.  A value that states its own offset contradicts a history, and so
+does a converted instant after the time at which the value was ingested; one long before it isn't impossible, but costs by
+the hour, so of the histories without violations the one wins that lies tightest under the ingestion times, in summer and
+in winter.  A declared zone is only overruled by violations.  Then the local time is converted.
 
 Nulls, empty texts and values without a full, possible date give null.
 """
@@ -13,9 +14,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.session import cut
+
 # Month names (English, German, French, Spanish) by month.
 MONTHS = [
     "january|jan|januar|jänner|janvier|janv|enero|ene",
@@ -49,7 +52,7 @@ REGIONS = {
     "uk": "Europe/London", "british": "Europe/London", "london": "Europe/London", "irish": "Europe/Dublin",
     "german": "Europe/Berlin", "berlin": "Europe/Berlin", "paris": "Europe/Paris",
 }
-# The histories that are tried for a source, besides the declared ones.
+# Of histories that agree wherever a source has values, the one that gives its name, in this order; then by name.
 CANDIDATES = [
     "UTC", "America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles",
     "America/Anchorage", "America/Halifax", "Europe/London", "Europe/Berlin", "Europe/Athens",
@@ -127,35 +130,67 @@ def render(local: Column, timed: Column, zone: Column) -> Column:
     return F.when(timed, F.concat(F.translate(F.substring(utc.cast("string"), 1, 19), " ", "T"), F.lit("Z"))).otherwise(F.substring(local.cast("string"), 1, 10))
 
 
-def estimate_zones(stamps: DataFrame, declared: DataFrame) -> DataFrame:
+def histories(spark: SparkSession) -> list[str]:
+    """All IANA zones that are named after a place, and UTC."""
+    areas = ("Africa/", "America/", "Antarctica/", "Asia/", "Atlantic/", "Australia/", "Europe/", "Indian/", "Pacific/")
+    return ["UTC", *sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if z.startswith(areas))]
+
+
+def _offset(local: Column, zone: Column) -> Column:
+    """Minutes by which a local clock is ahead of UTC."""
+    return F.timestamp_diff("MINUTE", to_utc(local, zone), local)
+
+
+def estimate_zones(stamps: DataFrame, declared: DataFrame, violation: float = 96.0, trust: float = 0.02) -> DataFrame:
     """For each source its most plausible offset history.
 
     stamps: source, local (timestamp_ntz), zone (offset or region stated by the value, or null), seen (ingestion time in
     UTC as timestamp_ntz, or null).  declared: source, zone (null allowed).
-    Result: source, zone, declared, evidence (values that could contradict), violations.
-    Every value counts; the scores are sums with map-side combining, so a source with a third of the rows is no hot spot.
-    A source without evidence keeps its declared zone; without either its zone is null.
-    """
+    Result: source, zone, declared, evidence (values that could contradict), violations (of zone).
+
+    A violation costs as much as ``violation`` hours of lag; values count that state an offset or were ingested less than two days
+    from their local time.  A declared zone stands unless it has more than twice the best history's violations and
+    ``trust`` of the evidence beyond.  A source without evidence keeps its declared zone; without either its zone is null.
+
+    Every value counts.  Values of one hour, stated offset and quarter hour of lag are first counted together, so a source with
+    a third of the rows is no hot spot; histories are scored by week, which every zone keeps one offset in but for the hours
+    around a change, and the chosen and the declared one are then held against each hour."""
+    spark = stamps.sparkSession
     base = stamps.select("source", "local", "zone", "seen").where("local is not null and source is not null")
-    names = F.array(*[F.lit(c) for c in CANDIDATES])
-    known = F.broadcast(declared.groupBy("source").agg(F.min("zone").alias("declared"))) if declared is not None else None
-    base = base.join(known, "source", "left")
-    # Values of one hour of one source agree in all that is scored, so they are first counted together.
-    says = F.col("zone").rlike(r"^[+-]") & ~F.col("zone").isin("+00:00", "-00:00")
-    late = F.when(F.col("zone").isNull() & F.col("seen").isNotNull(), F.date_trunc("hour", F.col("seen")))
-    near = F.abs(F.unix_seconds(F.col("local").cast("timestamp")) - F.unix_seconds(F.col("seen").cast("timestamp"))) < 86400
-    hours = (
-        base.where(says | (late.isNotNull() & near))
-        .groupBy("source", "declared", F.date_trunc("hour", "local").cast("timestamp_ntz").alias("local"), F.when(says, F.col("zone")).alias("says"), late.cast("timestamp_ntz").alias("seen"))
-        .agg(F.count("*").alias("n"))
-    )
-    tried = hours.withColumn("cand", F.explode(F.array_distinct(F.filter(F.concat(names, F.array("declared")), lambda c: c.isNotNull()))))
-    utc = to_utc(F.col("local"), F.col("cand"))
-    bad = F.when(F.col("says").isNotNull(), utc != to_utc(F.col("local"), F.col("says"))).otherwise(utc > F.col("seen"))
-    scores = tried.groupBy("source", "cand").agg(F.sum("n").alias("evidence"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"), F.max(F.col("cand") == F.col("declared")).alias("is_declared"))
-    best = scores.groupBy("source").agg(F.min(F.struct("violations", (~F.coalesce("is_declared", F.lit(False))).alias("other"), "cand", "evidence")).alias("b"))
-    every = base.select("source", "declared").distinct()
-    return every.join(best, "source", "left").select("source", F.coalesce("b.cand", "declared").alias("zone"), "declared", F.coalesce("b.evidence", F.lit(0)).alias("evidence"), F.coalesce("b.violations", F.lit(0)).alias("violations"))
+    if declared is not None:
+        base = base.join(declared.groupBy("source").agg(F.min("zone").alias("declared")), "source", "left")
+    else:
+        base = base.withColumn("declared", F.lit(None).cast("string"))
+    says = F.when(F.col("zone").rlike(r"^[+-]") & ~F.col("zone").isin("+00:00", "-00:00"), _offset(F.col("local"), F.col("zone")))
+    ahead = F.timestamp_diff("MINUTE", F.col("local"), F.col("seen"))
+    lag = F.when(F.col("zone").isNull() & ahead.between(-26 * 60, 48 * 60), F.floor(ahead / 15) * 15)  # offsets are quarter hours, so this is exact
+    told = base.select("source", "declared", "local", says.alias("says"), lag.alias("lag")).withColumn("tells", F.col("says").isNotNull() | F.col("lag").isNotNull())
+    hour = F.when(F.col("tells"), F.date_trunc("hour", "local").cast("timestamp_ntz"))
+    hours = cut(told.groupBy("source", "declared", hour.alias("local"), "says", "lag").agg(F.count("*").alias("n")), "hours")
+    week = F.date_trunc("week", "local").cast("timestamp_ntz")
+    hist = hours.where("local is not null").groupBy("source", week.alias("week"), "says", "lag").agg(F.sum("n").alias("n"))
+    zones = histories(spark)
+    middle = F.timestamp_add("HOUR", F.lit(84), F.col("week"))
+    grid = hist.select("week").distinct().withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    grid = cut(grid.select("week", "zone", _offset(middle, F.col("zone")).alias("offset")), "grid")  # zones x weeks
+    off = F.col("lag") + F.col("offset")
+    cost = F.when(F.col("says").isNotNull(), F.when(F.col("says") != F.col("offset"), violation).otherwise(0.0)).when(off < 0, violation).otherwise(off / 60)
+    weekly = hist.join(grid.select("week", "offset").distinct(), "week").groupBy("source", "week", "offset").agg(F.sum(cost * F.col("n")).alias("cost"))
+    place = {z: i for i, z in enumerate(CANDIDATES)}
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("zone")), F.lit(len(place)))
+    scores = weekly.join(grid, ["week", "offset"]).groupBy("source", "zone").agg(F.round(F.sum("cost"), 3).alias("cost"))
+    best = scores.groupBy("source").agg(F.min(F.struct("cost", rank.alias("rank"), "zone")).alias("b")).select("source", F.col("b.zone").alias("best"))
+    held = hours.join(best, "source", "left").select("*", F.explode(F.array_distinct(F.array(F.coalesce("declared", "best"), "best"))).alias("cand"))
+    exact = _offset(F.col("local"), F.col("cand"))
+    bad = F.when(F.col("says").isNotNull(), F.col("says") != exact).otherwise(F.col("lag") + exact < 0)
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("local").isNotNull() & c, F.col("n"))), F.lit(0))
+    seen = held.groupBy("source", "declared", "best", "cand").agg(count(F.lit(True)).alias("evidence"), count(bad).alias("violations"))
+    own = F.col("cand") == F.col("best")
+    both = seen.groupBy("source", "declared", "best").agg(
+        F.max("evidence").alias("evidence"), F.max(F.when(own, F.col("violations"))).alias("v"), F.max(F.when(F.coalesce(F.col("cand") == F.col("declared"), F.lit(False)), F.col("violations"))).alias("dv")
+    )
+    stands = F.col("declared").isNotNull() & (F.col("best").isNull() | (F.col("dv") <= 2 * F.col("v") + trust * F.col("evidence")))
+    return both.select("source", F.when(stands, F.col("declared")).otherwise(F.col("best")).alias("zone"), "declared", "evidence", F.coalesce(F.when(stands, F.col("dv")).otherwise(F.col("v")), F.lit(0)).alias("violations"))
 
 
 def first_seen(captures: DataFrame) -> DataFrame:
@@ -169,8 +204,7 @@ def normalise(articles: DataFrame, provenance: DataFrame, sites: DataFrame) -> D
     Repeated rows count once; values that give no date are left out; a site that is not in sites gets an estimated zone.
     """
     place = sites.groupBy("site").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
-    # The site's row is small and of fixed size by definition of the table: one row per site.
-    a = articles.select("slug", "site", "date").where("date is not null and slug is not null").distinct().join(F.broadcast(place), "site", "left")
+    a = articles.select("slug", "site", "date").where("date is not null and slug is not null").distinct().join(place, "site", "left")
     a = parse_stamps(a, "date", "date_order").select("slug", "site", "local", "timed", "zone")
     w = provenance.select("prov_id", "slug", "wayback_timestamp").where("wayback_timestamp is not null").distinct()
     w = parse_stamps(w.withColumn("ord", F.lit("mdy")), "wayback_timestamp", "ord")
@@ -178,7 +212,7 @@ def normalise(articles: DataFrame, provenance: DataFrame, sites: DataFrame) -> D
     stamps = a.where("timed").join(captured, "slug", "left").select(F.col("site").alias("source"), "local", "zone", "seen")
     zones = estimate_zones(stamps, place.select(F.col("site").alias("source"), F.col("tz").alias("zone")))
     clock = zones.select(F.col("source").alias("site"), F.col("zone").alias("clock"))
-    dates = a.join(F.broadcast(clock), "site", "left").select(
+    dates = a.join(clock, "site", "left").select(
         F.lit("articles.date").alias("field"), F.col("slug").alias("row_key"), render(F.col("local"), F.col("timed"), F.coalesce("zone", "clock")).alias("normal_form")
     )
     stamps_out = w.select(F.lit("provenance.wayback_timestamp").alias("field"), F.col("prov_id").cast("string").alias("row_key"), render(F.col("local"), F.col("timed"), F.coalesce("zone", F.lit("UTC"))).alias("normal_form"))

@@ -17,7 +17,7 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     """The offset history estimated for each site, without use of the declared one, beside it."""
     a = table(spark, d, "articles").select("slug", "site", "date").where("date is not null").distinct()
     place = table(spark, d, "sites")
-    a = timestamps.parse_stamps(a.join(F.broadcast(place.select("site", "date_order")), "site", "left"), "date", "date_order")
+    a = timestamps.parse_stamps(a.join(place.select("site", "date_order"), "site", "left"), "date", "date_order")
     w = table(spark, d, "provenance").select("prov_id", "slug", "wayback_timestamp").where("wayback_timestamp is not null").distinct()
     seen = timestamps.first_seen(timestamps.parse_stamps(w.withColumn("ord", F.lit("mdy")), "wayback_timestamp", "ord"))
     stamps = a.where("timed").join(seen, "slug", "left").select(F.col("site").alias("source"), "local", "zone", "seen")

@@ -66,3 +66,27 @@ def test_zone_is_estimated_from_stated_offsets_and_ingestion(spark, zone):
     quiet = days.limit(2).select(F.lit("q").alias("source"), "local", F.lit(None).cast("string").alias("zone"), F.lit(None).cast("timestamp_ntz").alias("seen"))
     assert T.estimate_zones(quiet, spark.createDataFrame([("q", BER)], "source string, zone string")).first().zone == BER
     assert T.estimate_zones(quiet, none).first().zone is None
+
+
+def test_undeclared_zones_from_lags_on_both_sides(spark):
+    """Captures up to seventeen hours after publication, for zones of one standard offset with and without summer time."""
+    zones = [NY, "America/Chicago", "America/Denver", "America/Los_Angeles", BER, PHX, "Asia/Kolkata", "Asia/Tokyo"]
+    n = spark.range(0, 4000).withColumn("utc", F.timestamp_add("MINUTE", (F.col("id") * 263 + 7919 * F.pmod(F.xxhash64("id"), F.lit(97))).cast("int"), F.expr("timestamp_ntz'2016-01-01 00:00:00'")))
+    n = n.withColumn("source", F.explode(F.array(*[F.lit(z) for z in zones])))
+    stamps = n.select("source", F.convert_timezone(F.lit("UTC"), F.col("source"), F.col("utc")).alias("local"), F.lit(None).cast("string").alias("zone"), F.timestamp_add("MINUTE", F.pmod(F.xxhash64("id", "source"), F.lit(17 * 60)).cast("int"), F.col("utc")).alias("seen"))
+    none = spark.createDataFrame([(z, None) for z in zones], "source string, zone string")
+    got = {r.source: r for r in T.estimate_zones(stamps, none).collect()}
+    probe = spark.range(365 * 3).select(F.timestamp_add("DAY", F.col("id").cast("int"), F.expr("timestamp_ntz'2016-01-01 12:00:00'")).alias("t"))
+    for z in zones:  # the history, whatever name it goes by
+        assert probe.where(T.to_utc(F.col("t"), F.lit(z)) != T.to_utc(F.col("t"), F.lit(got[z].zone))).count() == 0, (z, got[z])
+        assert got[z].violations <= 0.01 * got[z].evidence
+    assert {z: got[z].zone for z in zones[:6]} == {z: z for z in zones[:6]}
+
+
+def test_declared_zone_is_overruled_by_violations_only(spark):
+    days = spark.range(0, 500).select(F.timestamp_add("HOUR", F.col("id") * 25, F.expr("timestamp_ntz'2018-01-01 00:30:00'")).alias("local"))
+    late = days.select(F.lit("x").alias("source"), "local", F.lit(None).cast("string").alias("zone"), F.timestamp_add("HOUR", F.lit(20), T.to_utc(F.col("local"), F.lit(NY))).alias("seen"))
+    one = lambda z: T.estimate_zones(late, spark.createDataFrame([("x", z)], "source string, zone string")).first()
+    assert one(NY).zone == NY and one(BER).zone == BER
+    early = late.withColumn("seen", F.timestamp_add("HOUR", F.lit(-18), F.col("seen")))
+    assert T.estimate_zones(early, spark.createDataFrame([("x", "Pacific/Honolulu")], "source string, zone string")).first().zone != "Pacific/Honolulu"
