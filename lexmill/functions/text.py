@@ -34,6 +34,60 @@ def normal_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(fold_ascii(c)), r"[^a-z0-9]+", " "))
 
 
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility decompositions of the basic plane, by rule: of characters that become one base (with marks or without), and
+    of those that become several.  Hangul syllables are left composed; their decomposition tells no two of them apart less."""
+    one, many = {}, {}
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)]:
+        d = unicodedata.normalize("NFKD", chr(cp))
+        if d != chr(cp):
+            base = [c for c in d if not unicodedata.combining(c)]
+            (one if len(base) == 1 and d[0] == base[0] else many)[chr(cp)] = d
+    return one, many
+
+
+_ONE, _MANY = _decompositions()
+# Characters that are marked or become several go by private-use characters in two ranges, which one short pattern finds.
+_MARKED = {c: chr(0xE000 + i) for i, c in enumerate(c for c, d in _ONE.items() if len(d) > 1)}
+_SPELLED = {c: chr(0xE000 + len(_MARKED) + i) for i, c in enumerate(_MANY)}
+_TO_PRIVATE = {**{c: d[0] for c, d in _ONE.items()}, **_MARKED, **_SPELLED}
+
+
+def decomposed(c: Column) -> Column:
+    """Compatibility decomposition, with one mark for all of a letter's: enough wherever marks are dropped or split words.
+
+    Private-use characters become U+FFFD.  ASCII texts are left as they are."""
+    t = F.regexp_replace(c, "[\ue000-\uf8ff]", "\ufffd")
+    t = F.translate(t, "".join(_TO_PRIVATE), "".join(_TO_PRIVATE.values()))
+    first, last = min(_SPELLED.values()), max(_SPELLED.values())
+    spelled = F.array(*[F.lit(d) for d in _MANY.values()])
+    whole = F.array_join(F.transform(F.split(t, ""), lambda x: F.when(x.between(first, last), F.get(spelled, F.ascii(x) - ord(first))).otherwise(x)), "")
+    t = F.when(t.rlike(f"[{first}-{last}]"), whole).otherwise(t)
+    t = F.regexp_replace(t, f"([\ue000-{max(_MARKED.values())}])", "$1\u0301")
+    t = F.translate(t, "".join(_MARKED.values()), "".join(_ONE[x][0] for x in _MARKED))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), t).otherwise(c)
+
+
+def fold_compatible(c: Column) -> Column:
+    """ASCII of the decomposed text: ligatures and full-width letters are spelled out, what has no ASCII is dropped."""
+    return F.regexp_replace(decomposed(c), r"[^\x00-\x7F]", "")
+
+
+def normal_words(c: Column) -> Column:
+    """``normal_text`` by the full decomposition."""
+    return F.trim(F.regexp_replace(F.lower(fold_compatible(c)), r"[^a-z0-9]+", " "))
+
+
+def index_tokens(c: Column) -> Column:
+    """Distinct runs of letters or digits of the lower-cased, decomposed text: a mark splits a word."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(decomposed(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def plain_prose(c: Column) -> Column:
+    """Markdown links as their text, addresses left out."""
+    return F.regexp_replace(F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"https?://\S+", " ")
+
+
 def canon(c: Column) -> Column:
     """For comparing quotations: quotes and dashes unified, other punctuation as space, squeezed, lower-cased."""
     c = F.translate(c, "‘’“”–—", "''\"\"--")
@@ -75,7 +129,7 @@ def word_count(c: Column) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    """Distinct runs of letters or digits of the lower-cased, decomposed text (a mark splits the word)."""
+    """Distinct runs of letters or digits of the lower-cased text as it is; ``index_tokens`` decomposes it."""
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 

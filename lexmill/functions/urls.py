@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The paths of legacy addresses and the suffixes that are content ids.
+SUFFIX_ID = r"-(0ap[0-9]+|09000[a-f0-9]+)$"
 LEGACY = r"(?i)^/news/story/([^/]+)(?:/(article|comments)(?:/(.*))?)?/?$"
 # Path parts that make a page navigation.
 NAV_PARTS = ["author", "writer", "series", "video", "videos", "photos", "watch", "schedules", "scores", "teams", "sitemap", "search"]
@@ -30,6 +32,39 @@ def content_id(clean: Column) -> Column:
     return F.lower(F.regexp_extract(path_of(clean), LEGACY, 1))
 
 
+def any_content_id(clean: Column) -> Column:
+    """The content id of a legacy path, else the one an address ends with, else ''."""
+    own = content_id(clean)
+    return F.when(own != "", own).otherwise(F.regexp_extract(clean, SUFFIX_ID, 1))
+
+
+def allowed(u: Column, hosts: list[str], exact: list[str], prefixes: list[str]) -> Column:
+    """Whether an address is on one of the hosts and its path is one of the exact ones or begins with a prefix."""
+    host = F.regexp_extract(u, r"^[a-z]+://([^/:?#]*)", 1)
+    path = F.regexp_extract(u, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    below = F.lit(False)
+    for x in prefixes:
+        below = below | path.startswith(x)
+    return host.isin(*hosts) & (path.isin(*exact) | below)
+
+
+def _resolved(path: Column) -> Column:
+    """A path without its '.' and '..' parts."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != ".")
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x))
+    return F.array_join(F.aggregate(F.slice(parts, 2, 10_000), F.slice(parts, 1, 1), up), "/")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """``join_url`` with the parts '.' and '..' of a relative link's path worked off."""
+    u = join_url(base, href)
+    root, rest = F.regexp_extract(u, "^([a-z]+://[^/?#]*)", 1), F.regexp_extract(u, "^[a-z]+://[^/?#]*(.*)$", 1)
+    path = F.regexp_extract(rest, "^([^?#]*)", 1)
+    end = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    relative = ~href.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)")
+    return F.when(relative & (root != "") & path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(root, _resolved(path), end, F.regexp_extract(rest, "^[^?#]*(.*)$", 1))).otherwise(u)
+
+
 def canonical(clean: Column) -> Column:
     """Identity of an address: its content id whatever view or slug, else the clean address."""
     i = content_id(clean)

@@ -22,6 +22,26 @@ TERMS = [
 ]
 
 
+# Label, pattern and kind of the terms whose rates are compared on matched cohorts.
+MATCHED = [
+    ("first-round pick", r"(?i)\bfirst[\s-]round\s+picks?\b", "plain"), ("first-rounder", r"(?i)\bfirst[\s-]rounders?\b", "elevated"),
+    ("cornerback", r"(?i)\bcornerbacks?\b", "plain"), ("wide receiver / wideout", r"(?i)\b(?:wide\s+receivers?|wideouts?)\b", "plain"),
+    ("season", r"(?i)\bseasons?\b", "plain"), ("offensive coordinator", r"(?i)\boffensive\s+coordinators?\b", "plain"),
+    ("cover man", r"(?i)\bcover\s+m(?:a|e)n\b", "elevated"), ("play caller", r"(?i)\bplay[\s-]callers?\b", "elevated"),
+    ("passer", r"(?i)\bpassers?\b", "elevated"), ("pass catcher", r"(?i)\bpass[\s-]catchers?\b", "elevated"),
+    ("under center", r"(?i)\bunder\s+center\b", "elevated"), ("signal-caller", r"(?i)\bsignal[\s-]callers?\b", "elevated"),
+    ("autumn", r"(?i)\bautumns?\b", "elevated"), ("campaign", r"(?i)\bcampaigns?\b", "elevated"),
+    ("looms as", r"(?i)\blooms\s+as\b", "habit"), ("that saw", r"(?i)\bthat\s+saw\b", "habit"),
+    ("rough and tumble", r"(?i)\brough[\s-]and[\s-]tumble\b", "habit"), ("rugged", r"(?i)\brugged\b", "habit"),
+    ("league wide", r"(?i)\bleague[\s-]wide\b", "habit"), ("finest", r"(?i)\bfinest\b", "habit"), ("a rash of", r"(?i)\ba\s+rash\s+of\b", "habit"),
+    ("chaos", r"(?i)\bchaos\b", "died"), ("starry", r"(?i)\bstarry\b", "died"), ("a flock of", r"(?i)\ba\s+flock\s+of\b", "died"),
+    ("eons", r"(?i)\beons\b", "died"), ("earth", r"(?i)\bearth\b", "died"), ("dark", r"(?i)\bdark\b", "died"), ("war", r"(?i)\bwar\b", "died"),
+    ("battle", r"(?i)\bbattle\b", "died"), ("armed with", r"(?i)\barmed\s+with\b", "died"),
+    ("[position abbreviations]", r"\b(?:CB|WR|OC|DC|DB|RB|TE|QB|LB|OL)\b", "abbreviation"),
+    ("[reporter named with paper]", r"\b[A-Z][a-z]+(?: [A-Z][a-z'.]+){1,2} of The [A-Z][A-Za-z. ]{2,30}", "attribution"),
+]
+
+
 def measure(members: DataFrame, by: list[str], terms: list[tuple[str, str, str]]) -> DataFrame:
     """by, label, occurrences, words, per_10k: all patterns in one pass over the texts, then turned into rows."""
     counts = [F.sum(F.regexp_count("body", F.lit(p))).alias(f"c{i}") for i, (_, p, _) in enumerate(terms)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
@@ -49,6 +49,29 @@ def term_counts(run_rows: DataFrame, key: str, side: str, sizes: tuple[int, ...]
     return per_doc.groupBy("term", side).agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
+def document_grams(body: Column, sizes: tuple[int, ...]) -> Column:
+    """All n-grams of a text's sentences in one array."""
+    lowered = F.transform(text.sentences(body), lambda s: F.transform(s, lambda t: F.lower(t)))
+    return F.flatten(F.transform(lowered, lambda s: text.ngrams(s, sizes)))
+
+
+def whole_term_counts(docs: DataFrame, side: list[str], body: str, sizes: tuple[int, ...]) -> DataFrame:
+    """``term_counts`` of one row per document where no token breaks a sentence: term, side, tf, df.
+
+    What a document holds is made distinct inside its row, so occurrences and documents are both counted by one shuffle, that
+    of terms already combined; no pair of document and term is ever shuffled."""
+    g = docs.where(F.col(body).isNotNull()).select(*side, document_grams(F.col(body), sizes).alias("g"))
+    tag = lambda a, once: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(once).alias("once")))
+    rows = g.select(*side, F.inline(F.concat(tag("g", False), tag(F.array_distinct("g"), True))))
+    return rows.groupBy("term", *side).agg(F.count_if(~F.col("once")).alias("tf"), F.count_if("once").alias("df"))
+
+
+def document_counts(docs: DataFrame, body: str, sizes: tuple[int, ...]) -> DataFrame:
+    """term, df: in how many documents (one row each) every n-gram stands."""
+    g = docs.where(F.col(body).isNotNull()).select(F.explode(F.array_distinct(document_grams(F.col(body), sizes))).alias("term"))
+    return g.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def log_odds(counts: DataFrame, measure: str = "df", least: int = 3) -> DataFrame:
     """counts: term, side ('target' or 'control'), tf, df.  term, n_target, n_control, df, z of terms in ``least`` target
     documents: log-odds with the pooled corpus as prior, over its standard deviation.  A vocabulary of one term has z 0."""

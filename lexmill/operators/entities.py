@@ -22,6 +22,21 @@ def matches(docs: DataFrame, key: str, body: Column, dictionary: DataFrame, long
     return g.join(dictionary.where(F.col("words").between(least, longest)).select("alias", "name"), "alias").select(key, "name").distinct()
 
 
+def mentions(docs: DataFrame, key: str, body: Column, names: DataFrame, least: int = 1) -> DataFrame:
+    """(key, name) of the documents that hold an alias of ``least`` words or more, however many it has.  names: name, alias (an
+    alias table, several rows a name); texts and aliases are compared by the full decomposition.
+
+    A document's n-grams only have the lengths that the dictionary has."""
+    a = names.select("name", text.normal_words(F.col("alias")).alias("alias")).where("name is not null and alias <> ''")
+    a = a.groupBy("alias").agg(F.min("name").alias("name")).withColumn("words", F.size(F.split("alias", " "))).where(F.col("words") >= least)
+    sizes = tuple(sorted(r.words for r in a.select("words").distinct().collect()))  # a handful of numbers
+    w = docs.select(key, F.split(text.normal_words(body), " ").alias("w"))
+    if not sizes:
+        return w.limit(0).select(key, F.lit(None).cast("string").alias("name"))
+    g = w.select(key, F.explode(F.array_distinct(text.ngrams(F.col("w"), sizes))).alias("alias"))
+    return g.join(a.select("alias", "name"), "alias").select(key, "name").distinct()
+
+
 # Title patterns of series, in order.
 SERIES = [(r"(?i)^QB Almanac\b", "QB Almanac"), (r"(?i)^Roster Reset\b", "Roster Reset"), (r"(?i)^Hot or Not\b", "Hot or Not")]
 

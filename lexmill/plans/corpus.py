@@ -36,24 +36,22 @@ def _runs(spark: SparkSession, d: str, clean: bool = False, proper: bool = False
 
 
 def _scored(spark: SparkSession, d: str, measure: str, sizes: tuple[int, ...]) -> DataFrame:
-    return corpus.log_odds(corpus.term_counts(_runs(spark, d), "slug", "side", sizes), measure)
+    return corpus.log_odds(corpus.whole_term_counts(sides(spark, d), ["side"], "body", sizes), measure)
 
 
 def term_freq(spark, d):
-    s = corpus.sentence_tokens(art(spark, d), "slug", "body")
-    t = s.select("slug", F.explode(F.transform("tokens", lambda x: F.lower(x))).alias("term"))
-    n = t.groupBy("slug", "term").agg(F.count("*").alias("n"))
-    return n.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    return corpus.whole_term_counts(art(spark, d), [], "body", (1,))
 
 
 def doc_freq(spark, d):
-    g = corpus.runs(corpus.sentence_tokens(art(spark, d), "slug", "body"), "slug").select("slug", F.explode(text.ngrams(F.col("tokens"), (1, 2, 3))).alias("term")).distinct()
-    return g.groupBy("term").agg(F.count("*").alias("df")).where("df >= 3")
+    return corpus.document_counts(art(spark, d), "body", (1, 2, 3)).where("df >= 3")
 
 
 def bigram_postings(spark, d):
-    g = corpus.runs(corpus.sentence_tokens(art(spark, d), "slug", "body"), "slug").select("slug", F.explode(text.ngrams(F.col("tokens"), (2,))).alias("term")).distinct()
-    few = g.groupBy("term").agg(F.count("*").alias("df")).where("df between 3 and 20")
+    """Posting lists of the bigrams in three to twenty documents, which bounds a list."""
+    a = art(spark, d).where("body is not null")
+    few = corpus.document_counts(a, "body", (2,)).where("df between 3 and 20")
+    g = a.select("slug", F.explode(F.array_distinct(corpus.document_grams(F.col("body"), (2,)))).alias("term"))
     return g.join(few, "term").groupBy("term", "df").agg(F.array_join(F.sort_array(F.collect_list("slug")), ",").alias("slugs"))
 
 
