@@ -14,6 +14,24 @@ def keep_first(old: Column, new: Column) -> Column:
     return F.coalesce(old, new)
 
 
+def updated(df: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Fields merged by key, the later table's values winning where they say something; its new columns are added."""
+    old = df.join(incoming.select(key, F.struct(*[c for c in incoming.columns if c != key]).alias("_new")), key, "full_outer")
+    names = [c for c in df.columns if c != key] + [c for c in incoming.columns if c not in df.columns]
+    pick = lambda c: F.coalesce(*([F.col("_new")[c]] if c in incoming.columns else []), *([F.col(c)] if c in df.columns else [])).alias(c)
+    return old.select(key, *[pick(c) for c in names])
+
+
+def migrated(df: DataFrame, added: dict[str, Column], retired: list[str]) -> DataFrame:
+    """Records brought to another layout: missing fields added (existing ones keep their values), retired ones dropped."""
+    return df.withColumns({k: v for k, v in added.items() if k not in df.columns}).drop(*retired)
+
+
+def redacted(df: DataFrame, *fields: str) -> DataFrame:
+    """The fields blanked, as in a published copy."""
+    return df.withColumns({f: F.lit("") for f in fields})
+
+
 def tidy_byline(raw: Column) -> Column:
     """Without a leading 'By', '' for a placeholder."""
     t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?i)^By\s+", ""))

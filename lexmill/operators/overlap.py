@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import widen
+
 
 def words(df: DataFrame, key: str, canon: Column) -> DataFrame:
     """key, w: words of the canonical text."""
-    return df.select(F.col(key), F.filter(F.split(canon, " "), lambda x: x != "").alias("w"))
+    return widen(df).select(F.col(key), F.filter(F.split(canon, " "), lambda x: x != "").alias("w"))
 
 
 def grams(w: DataFrame, key: str, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,8 +28,18 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines; the commit of a job is atomic, so readers see the old files or the new."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Rows as JSON lines.  They are written aside and put in the old ones' place when the job has committed, so a failed job
+    leaves the old files; between two renames, and not longer, there is neither."""
+    spark = df.sparkSession
+    aside, before = (f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
+    df.write.option("ignoreNullFields", False).json(aside)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(of(path)):
+        fs.rename(of(path), of(before))
+    if not fs.rename(of(aside), of(path)):
+        raise OSError(f"{aside} can't be moved to {path}")
+    fs.delete(of(before), True)
 
 
 def json_for_page(c: Column) -> Column:
@@ -62,10 +74,14 @@ class _Part(InputPartition):
 
 
 class CaptureReader(DataSourceReader):
-    """Reads JSON arrays of [timestamp, original, statuscode] with a header row; an equality on statuscode is applied here."""
+    """Reads JSON arrays of [timestamp, original, statuscode] with a header row; an equality on statuscode is applied here.
+
+    Options as of the archive's own index: match, a pattern that the whole of original fits; collapse, a number of digits of
+    the timestamp: of rows of one address that agree in them only the first in its file is given."""
 
     def __init__(self, options: dict):
         self.paths, self.status = options["path"].split(","), None
+        self.match, self.collapse = options.get("match"), int(options.get("collapse", 0))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -82,10 +98,17 @@ class CaptureReader(DataSourceReader):
             rows = json.load(f)
         head = rows[0] if rows else []
         at = [head.index(c) if c in head else None for c in ("timestamp", "original", "statuscode")]
+        fits = re.compile(self.match).fullmatch if self.match else None
+        seen: set[tuple] = set()
         for r in rows[1:]:
             out = tuple(r[i] if i is not None and i < len(r) else None for i in at)
-            if self.status is None or out[2] == self.status:
-                yield out
+            if self.status is not None and out[2] != self.status or fits and not fits(out[1] or ""):
+                continue
+            if self.collapse:
+                if (key := (out[1], (out[0] or "")[: self.collapse])) in seen:
+                    continue
+                seen.add(key)
+            yield out
 
 
 class CaptureIndex(DataSource):
