@@ -142,11 +142,8 @@ def similar_tokens(tokens: DataFrame, cut: Callable) -> DataFrame:
     d edits change at most d * (Q + 1) q-grams (a swap changes Q + 1), so similar tokens share all but that many and thus
     one of the d * (Q + 1) + 1 rarest q-grams of either: only that prefix is joined."""
 
-    @F.udf("array<string>")
-    def gram_udf(t: str) -> list[str]:
-        return grams(t)
-
-    base = tokens.where(F.length("token") >= 4).select("token", "spellings", "uses", F.explode(gram_udf("token")).alias("g"))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") + 3 - Q), lambda i: F.substring(F.concat(F.lit("^"), "token", F.lit("$")), i, Q)))
+    base = tokens.where(F.length("token") >= 4).select("token", "spellings", "uses", F.explode(own).alias("g"))
     rarity = base.groupBy("g").agg(F.count("*").alias("df"))  # at most (letters + 2)^Q rows
     w = Window.partitionBy("token").orderBy("df", "g")
     keep = F.when(F.length("token") < 7, 1).otherwise(2) * (Q + 1) + 1
