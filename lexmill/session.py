@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CUT: list[str] = []
+
+
 def get_session(name: str = "lexmill", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings the library is tested under."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -51,10 +54,21 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and an executor's loss costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _CUT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that were cut so far; to be called when the results that read them are written.  Returns how many."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _CUT:
+        path = of(_CUT.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partitioned by columns into as many parts as the session shuffles into (at least one per core).  A number that is
     asked for isn't merged again at run time, so work that costs more than its bytes say keeps all cores busy."""

@@ -163,3 +163,11 @@ def test_matched_terms(spark):
     m = spark.createDataFrame([("s", "First-round picks. A rash  of wideouts; CB and QB, said Jane Doe of The Daily Post.")], "side string, body string")
     got = {r.label: r.occurrences for r in cohorts.measure(m, ["side"], cohorts.MATCHED).collect()}
     assert len(got) == 32 and (got["first-round pick"], got["a rash of"], got["wide receiver / wideout"], got["[position abbreviations]"], got["[reporter named with paper]"], got["war"]) == (1, 1, 1, 2, 1, 0)
+
+
+def test_cut_tables_are_released(spark):
+    from lexmill.session import cut, release
+
+    release(spark)
+    df = cut(spark.range(5))
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
