@@ -128,11 +128,6 @@ def allowed(n: int) -> int:
     return 0 if n < 4 else 1 if n < 7 else 2
 
 
-def grams(token: str) -> list[str]:
-    t = f"^{token}$"
-    return sorted({t[i : i + Q] for i in range(len(t) - Q + 1)})
-
-
 def similar_tokens(tokens: DataFrame, cut: Callable) -> DataFrame:
     """tokens: token, spellings (count), uses (of all its spellings).  Result: token, canon -- the token it is a misspelling of.
 

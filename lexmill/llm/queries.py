@@ -87,4 +87,8 @@ SQL: dict[str, str] = {
     ", c as (select 'articles.body' field, term, count(*) n, (select count(*) from art) total from t group by term union all select 'analysis_voice.term', term, count(*), (select count(distinct run_id) from analysis_voice) from v where term <> '' group by term)"
     " select field, term, case when n < 3 then 'rare' else 'common' end mark from c where n < 3 or n > 0.6 * total",
     "p7_found": f"with d as (select doc_id, {_WORDS} w from documents where text is not null), i as (select item_id, {_WORDS} w from eval_items), gd as (select distinct doc_id, array_to_string(list_slice(w, k, k + 9), ' ') g from (select *, unnest(range(1, len(w) - 8)) k from d)), gi as (select distinct item_id, array_to_string(list_slice(w, k, k + 9), ' ') g from (select *, unnest(range(1, len(w) - 8)) k from i)) select distinct doc_id, item_id from gd join gi using (g)",
+    "p6_terms": "with " + _ART + ", t as (select slug, unnest(regexp_extract_all(lower(replace(replace(nfc_normalize(body), chr(173), ''), chr(8203), '')), '[\\p{L}\\p{N}]+')) term from art where body is not null)"
+    f", v as (select run_id, trim(regexp_replace(lower(term), '{_BLANK}', ' ', 'g'), ' ') term from analysis_voice where term is not null and run_id is not null)"
+    ", c as (select 'articles.body' field, term, count(*) o, count(distinct slug) n, (select count(*) from art) total from t group by term union all select 'analysis_voice.term', term, count(*), count(distinct run_id), (select count(distinct run_id) from analysis_voice) from v where term <> '' group by term)"
+    " select field, term, o::bigint occurrences, n::bigint records, case when n < 3 then 'rare' when n > 0.6 * total then 'common' end mark from c",
 }
