@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (pattern, formats) in the order in which they are tried; a find that isn't a date falls through to the next.
+# Fixed values: (pattern, formats) in the order in which they are tried; a find that isn't a date falls through to the next.
 PATTERNS = [
     (r"(?i)\b(\d{4}-\d{1,2}-\d{1,2})(?!\d)", ["yyyy-M-d"]),
     (r"(?i)\b(\d{4}/\d{1,2}/\d{1,2})\b", ["yyyy/M/d"]),

@@ -102,6 +102,7 @@ def canon_markup(c: Column) -> Column:
     return canon(c)
 
 
+# What ends a sentence and what a token is.
 SENTENCE = r"[.!?;:]+|\n+|\s--\s"
 TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z]+)*"
 
@@ -141,6 +142,7 @@ def promo_pattern(section: str) -> str:
     )
 
 
+# A line that announces statistics, and the arrows of navigation rows.
 STAT_LINE = r"(?im)^\s*\d{4}\s+(?:stats|final ranking)\s*:.*$"
 ARROWS = "[▶▷▹◀▸]"
 

@@ -48,15 +48,21 @@ def series(title: Column) -> Column:
     return out
 
 
+# What a title says of an article's format, in order, and the words from which on an article is a column.
+FORMATS = [
+    (r"(?i)\b(dies|died|obituary|remembering|passes away|dead at)\b", "obituary"),
+    (r"(?i)\b(rankings?|ranking|ranked|top \d+|QB Index|best and worst)\b", "ranking"),
+    (r"(?i)\b(dispatch|from the (?:combine|sidelines)|on the scene|training camp report)\b", "dispatch"),
+    (r"(?i)\b(on my radar|why|what we learned|my favorite)\b", "column"),
+]
+COLUMN_WORDS = 700
+
+
 def article_format(title: Column, body: Column) -> Column:
-    """The first rule that fits: obituary, ranking, dispatch, column, news brief."""
-    return (
-        F.when(title.rlike(r"(?i)\b(dies|died|obituary|remembering|passes away|dead at)\b"), "obituary")
-        .when(title.rlike(r"(?i)\b(rankings?|ranking|ranked|top \d+|QB Index|best and worst)\b"), "ranking")
-        .when(title.rlike(r"(?i)\b(dispatch|from the (?:combine|sidelines)|on the scene|training camp report)\b"), "dispatch")
-        .when((series(title) != "") | (F.coalesce(text.word_count(body), F.lit(0)) >= 700) | title.rlike(r"(?i)\b(on my radar|why|what we learned|my favorite)\b"), "column")
-        .otherwise("news brief")
-    )
+    """The first rule that fits; a series or a long text is a column, anything else a news brief."""
+    long = (series(title) != "") | (F.coalesce(text.word_count(body), F.lit(0)) >= COLUMN_WORDS)
+    rules = [(title.rlike(p) | long if name == "column" else title.rlike(p), name) for p, name in FORMATS]
+    return F.coalesce(*[F.when(fits, name) for fits, name in rules], F.when(long, "column"), F.lit("news brief"))
 
 
 def byline_names(raw: Column) -> Column:
