@@ -97,13 +97,13 @@ def count_words(df: DataFrame, record: str, text: str, limit: int = 300_000) ->
     """term, occurrences, records over the words of a text column; all rows of one record count as its first row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, seen = BurstTrie(), set()
+        trie, before = BurstTrie(), None
         occ, rec, held = Counter(), Counter(), 0
         for pdf in batches:
-            for key, body in zip(pdf["k"], pdf["t"]):
-                if key in seen:
+            for key, body in zip(pdf["r"], pdf["t"]):
+                if key == before:
                     continue
-                seen.add(key)
+                before = key
                 ws = words_of(body)
                 occ.update(ws)
                 rec.update(set(ws))
@@ -117,10 +117,9 @@ def count_words(df: DataFrame, record: str, text: str, limit: int = 300_000) ->
         trie.add(occ, rec)
         yield _frame(trie)
 
-    # Copies of a record meet in one task: the key is shuffled as a 64-bit hash pair beside the text.
+    # Copies of a record meet in one task and there in a row, so nothing has to be remembered but the record before.
     src = df.select(F.col(record).alias("r"), F.col(text).alias("t")).where("r is not null and t is not null")
-    src = spread(src, "r").select(F.xxhash64("r", F.length("r")).alias("k"), "t")
-    return _merge(src.mapInPandas(run, _OUT))
+    return _merge(spread(src, "r").sortWithinPartitions("r").mapInPandas(run, _OUT))
 
 
 def count_values(df: DataFrame, record: str, value: Column, limit: int = 300_000) -> DataFrame:
