@@ -83,3 +83,31 @@ def test_clean_slice_beside_others(spark):
     p = spark.createDataFrame([], PROV)
     assert bp.boilerplate_lines(a, p, never).count() == 0
     assert bp.boilerplate_lines(a, p, mixed).count() == 100
+
+
+def test_all_pages_are_learned_from(spark):
+    """A kind of line on 12 of 9,000 pages, none of which a sample of 6,000 by the slug's hash holds."""
+    drawn = spark.range(9000).selectExpr("concat('s', id) as slug", "xxhash64(11, concat('s', id)) / 18446744073709551616D + 0.5D as part").collect()
+    rare = [r.slug for r in drawn if r.part > 6000 / 9000][:12]
+    rows = []
+    for i, r in enumerate(drawn):
+        body = [f"Paragraph {i} tells how the visitors went ahead in the ninth minute, and nobody was surprised by it."]
+        body += ["Share this story with your league"] * (i % 3 == 0) + ["Rain fell over the ground until the half began."] * (i % 2) + ["The winger's zither quartet oboes"] * (i % 1800 == 1)
+        rows.append((r.slug, "\n".join([*body, "Photograph: zq pool wire"] if r.slug in rare else body), "", 0))
+    a = spark.createDataFrame(rows, ART)
+    got = {tuple(r) for r in bp.boilerplate_lines(a, spark.createDataFrame([], PROV)).collect()}
+    assert {(s, b.count("\n")) for s, b, *_ in rows if s in rare} <= got
+    assert {(s, 1) for i, (s, *_) in enumerate(rows) if i % 3 == 0} <= got and not any(k == 0 for _, k in got)
+
+
+def test_tasks_that_add_up_grow_the_same_trees(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(45_000, bp.N_FEATURES)).astype(np.float32)
+    x = bp.value_of(bp.code_of(x))
+    y = (x[:, 0] + x[:, 3] > 0.4) ^ (x[:, 7] > 1)
+    salt = np.arange(len(x), dtype=np.uint32)
+    df = spark.createDataFrame([(f"s{k}", bp.code_of(x[k : k + 500]).tobytes(), y[k : k + 500].tobytes(), salt[k : k + 500].tobytes()) for k in range(0, len(x), 500)], "slug string, x binary, y binary, salt binary")
+    edges = [bp.edges_of(*np.unique(x[:, f], return_counts=True), 48) for f in range(bp.N_FEATURES)]
+    two, one = bp.fit_rows(df, edges, len(x), int(y.sum()), rounds=6), bp.fit_trees(x, y.astype(float), rounds=6)
+    assert all(np.array_equal(a, b) for t, u in zip(two.trees, one.trees) for a, b in zip(t[:3], u[:3]))
+    assert np.abs(two.log_odds(x) - one.log_odds(x)).max() < 1e-9
