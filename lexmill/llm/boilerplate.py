@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from lexmill.session import cut, widen
 
-_GONE = {0xAD: None, 0x200B: None}
 _BULLETS = frozenset("•·*>»–-")
 _MARK = re.compile(r"^(?:([•·*>»–-])|(#{1,6})|(\d{1,2}[.)]))\s+(?=\S)")
 _END = re.compile(r"[.!?…][”\"'’)\]]*$")
 _SEPARATORS = re.compile(r"\s[|·▶►/>»•–-]\s|\s?[|·▶►»]\s?")
+_SEPARATOR = re.compile(r"[|·▶►/>»•–-]")
 _TAIL = re.compile(r"\((?:video|photos?|audio)\)$|\b\d+\s?(?:h|m|d|hours?|min(?:utes)?|days?) ago$", re.I)
 _HANDLE = re.compile(r"^[a-z][a-z0-9_]{2,20}: \S")
 _PAIR = re.compile(r"^\**\w+:\**\s")
@@ -54,8 +54,28 @@ KNOWN = 2.0
 WORD_FEATURES = 6
 
 
+def visible(line: str) -> str:
+    return line if line.isascii() else line.replace("\xad", "").replace("\u200b", "")
+
+
 def tidy(line: str) -> str:
-    return " ".join((line if line.isascii() else line.translate(_GONE)).split())
+    return " ".join(visible(line).split())
+
+
+class Memo(dict):
+    """What a function gives, remembered; emptied when it has grown."""
+
+    def __init__(self, of: Callable[[str], object], most: int = 500_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, key: str) -> object:
+        if len(self) > self.most:
+            self.clear()
+        value = self[key] = self.of(key)
+        return value
+
+
+_CAPITAL = Memo(lambda c: c.isupper() or not c.isalpha())
 
 
 class Line:
@@ -74,15 +94,15 @@ class Line:
         self.low = low = rest.lower()
         self.words = _TOKEN.findall(low)
         self.ends = bool(_END.search(rest))
-        caps = sum(1 for w in words if w[0].isupper() or not w[0].isalpha())
+        caps = sum(map(_CAPITAL.__getitem__, [w[0] for w in words]))
         self.caps = caps / n if n else 0.0
         self.handle = bool(_HANDLE.match(rest))
-        self.tail = tail = bool(_TAIL.search(rest))
+        self.tail = tail = low.endswith((")", "ago")) and bool(_TAIL.search(rest))
         self.label = n <= 6 and not self.mark and not self.ends and not self.handle and (llr > KNOWN or not 0.15 < self.caps < 0.98 or n < 3)
         self.headline = n >= 3 and self.mark != 4 and not self.label and "|" not in rest and (tail or (not self.ends and 0.15 < self.caps < 0.98 and not _PAIR.match(rest)))
         colon = rest.find(":")
         self.feats = [
-            n, len(rest), self.ends, rest.count(". ") + rest.count("? ") + rest.count("! "), rest.count(","), self.mark, self.caps, len(_DIGIT.findall(rest)) / max(1, len(rest)), len(_SEPARATORS.findall(rest)), "©" in rest,
+            n, len(rest), self.ends, rest.count(". ") + rest.count("? ") + rest.count("! "), rest.count(","), self.mark, self.caps, len(_DIGIT.findall(rest)) / max(1, len(rest)), len(_SEPARATORS.findall(rest)) if _SEPARATOR.search(rest) else 0, "©" in rest,
             tail, self.handle, rest.isupper(), rest.count(" ", 0, colon) + 1 if 0 <= colon < 40 else 0, llr, "“" in rest or '"' in rest, self.headline, "?" in rest,
         ]
 
@@ -221,14 +241,15 @@ class Trees:
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
+        flat, at = x.ravel(), np.arange(len(x)) * x.shape[1]
         for feature, threshold, left, value, depth in self.trees:
-            node = np.zeros(len(x), dtype=np.int32)
+            leaf = feature < 0  # leads to itself
+            f, t = np.where(leaf, 0, feature).astype(np.intp), np.where(leaf, np.float32(np.inf), threshold)
+            to = np.where(leaf, np.arange(len(feature)), left).astype(np.intp)
+            node = np.zeros(len(x), dtype=np.intp)
             for _ in range(int(depth)):
-                f = feature[node]
-                go = x[rows, np.maximum(f, 0)] > threshold[node]
-                node = np.where(f >= 0, left[node] + go, node)
-            out += value[node]
+                node = to.take(node) + (flat.take(at + f.take(node)) > t.take(node))
+            out += value.take(node)
         return out
 
 
@@ -240,26 +261,53 @@ def edges_of(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(values[np.searchsorted(upto, np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1), side="right")])
 
 
+def packed(edges: list[np.ndarray], most: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Features side by side in one number: the group and the stride of each, its width, and the cells of each group, so that
+    one count over a group gives the sums of all its features."""
+    width = np.array([len(e) + 1 for e in edges])
+    group, stride, cells = np.zeros(len(edges), dtype=np.int64), np.ones(len(edges), dtype=np.int64), []
+    for f in np.argsort(-width, kind="stable").tolist():
+        k = next((k for k, c in enumerate(cells) if c * width[f] <= most), len(cells))
+        if k == len(cells):
+            cells.append(1)
+        group[f], stride[f] = k, cells[k]
+        cells[k] *= int(width[f])
+    return group, stride, width, cells
+
+
 class Rows:
-    """The rows that one task fits on, as bins, a column after the other in each piece; in files, so memory doesn't bound them."""
+    """The rows that one task fits on, features packed, a group after the other in each piece; in files, so memory doesn't bound
+    them."""
 
-    def __init__(self) -> None:
-        self.file, self.pieces, self.n = tempfile.TemporaryFile(), [], 0
+    def __init__(self, edges: list[np.ndarray], piece: int = 50_000):
+        self.packing = self.group, self.stride, self.width, self.cells = packed(edges)
+        self.file, self.pieces, self.n, self.piece, self.held = tempfile.TemporaryFile(), [], 0, piece, []
 
     def add(self, bins: np.ndarray, y: np.ndarray, salt: np.ndarray) -> None:
         """bins: uint8, a row per line; salt: uint32, what draws the lines."""
-        at = self.file.tell()
-        self.file.write(np.ascontiguousarray(bins.T))
-        self.pieces.append((at, len(bins), self.n, y.astype(np.float32), salt))
-        self.n += len(bins)
-
-    def seal(self, columns: int) -> list[tuple]:
-        """(bins, y, salt, score, g, h, node, drawn) of each piece."""
+        keys = np.zeros((len(self.cells), len(bins)), dtype=np.uint16)
+        for f, (k, s) in enumerate(zip(self.group, self.stride)):
+            keys[k] += bins[:, f] * np.uint16(s)
+        self.held.append((keys, y.astype(np.float32), salt))
+        if sum(len(x[1]) for x in self.held) >= self.piece:
+            self._write()
+
+    def _write(self) -> None:
+        if self.held:
+            keys, y, salt = (np.concatenate(x, axis=-1) for x in zip(*self.held))
+            at = self.file.tell()
+            self.file.write(np.ascontiguousarray(keys))
+            self.pieces.append((at, len(y), self.n, y, salt))
+            self.n, self.held = self.n + len(y), []
+
+    def seal(self) -> list[tuple]:
+        """(keys, y, salt, score, g, h, node, drawn) of each piece."""
+        self._write()
         self.file.flush()
         if not self.n:
             return []
-        held = [np.memmap(tempfile.TemporaryFile(), dtype=t, mode="w+", shape=(self.n,)) for t in (np.float64, np.float32, np.float32, np.uint8, np.bool_)]
-        return [(np.memmap(self.file, dtype=np.uint8, mode="r", offset=at, shape=(columns, m)), y, salt, *(h[o : o + m] for h in held)) for at, m, o, y, salt in self.pieces]
+        held = [np.memmap(tempfile.TemporaryFile(), dtype=t, mode="w+", shape=(self.n,)) for t in (np.float32, np.float32, np.float32, np.uint8, np.bool_)]
+        return [tuple(np.asarray(x) for x in (np.memmap(self.file, dtype=np.uint16, mode="r", offset=at, shape=(len(self.cells), m)), y, salt, *(h[o : o + m] for h in held))) for at, m, o, y, salt in self.pieces]
 
 
 def grow(rows: Rows, edges: list[np.ndarray], n: int, positive: int, gather: Callable[[np.ndarray], np.ndarray], rounds: int = 70, depth: int = 5, rate: float = 0.25, ridge: float = 1.0, part: float = 0.5) -> Trees:
@@ -269,7 +317,8 @@ def grow(rows: Rows, edges: list[np.ndarray], n: int, positive: int, gather: Cal
     m = len(edges)
     p = float(np.clip(positive / n, 1e-6, 1 - 1e-6))
     base = float(np.log(p / (1 - p)))
-    pieces = rows.seal(m)
+    pieces = rows.seal()
+    group, stride, widths, cells = rows.packing
     width = max(len(e) for e in edges) + 1
     for _, _, _, score, *_ in pieces:
         score[:] = base
@@ -277,29 +326,34 @@ def grow(rows: Rows, edges: list[np.ndarray], n: int, positive: int, gather: Cal
     rnd = np.random.default_rng(0)
 
     def histograms(nodes: list[int]) -> np.ndarray:
-        out = np.zeros((2, len(nodes), m, width))
+        sums = [np.zeros((2, len(nodes), c)) for c in cells]
         slot = np.full(256, -1, dtype=np.int64)
         slot[nodes] = np.arange(len(nodes))
-        for bins, _, _, _, g, h, node, drawn in pieces:
-            s = slot[node]
+        for keys, _, _, _, g, h, node, drawn in pieces:
+            s = slot.take(node)
             at = np.flatnonzero(drawn & (s >= 0))
             if not len(at):
                 continue
-            own, gs, hs, s = bins[:, at], g[at].astype(np.float64), h[at].astype(np.float64), s[at] * width
-            for f in range(m):
-                key = s + own[f]
-                out[0, :, f] += np.bincount(key, gs, len(nodes) * width).reshape(-1, width)
-                out[1, :, f] += np.bincount(key, hs, len(nodes) * width).reshape(-1, width)
+            gs, hs, s = g.take(at).astype(np.float64), h.take(at).astype(np.float64), s.take(at)
+            for k, c in enumerate(cells):
+                key = keys[k].take(at) if len(nodes) == 1 else keys[k].take(at) + s * c
+                sums[k][0] += np.bincount(key, gs, len(nodes) * c).reshape(-1, c)
+                sums[k][1] += np.bincount(key, hs, len(nodes) * c).reshape(-1, c)
+        out = np.zeros((2, len(nodes), m, width))
+        for f in range(m):
+            k, w, t = group[f], widths[f], stride[f]
+            out[:, :, f, :w] = sums[k].reshape(2, len(nodes), -1, w, t).sum((2, 4))
         return gather(out)
 
     for _ in range(rounds):
-        turn = np.uint64(rnd.integers(1 << 62) * 2 + 1)
+        turn = rnd.integers(1 << 31, size=2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         drawn_n = 0
         for _, y, salt, score, g, h, node, drawn in pieces:
             prob = 1 / (1 + np.exp(-score))
             g[:], h[:], node[:] = y - prob, prob * (1 - prob), 0
-            z = (salt.astype(np.uint64) + np.uint64(1)) * turn  # wraps
-            drawn[:] = ((z ^ (z >> np.uint64(29))) * turn >> np.uint64(32)) < part * 2.0**32
+            z = (salt + np.uint32(1)) * turn[0]  # wraps
+            z = (z ^ (z >> np.uint32(15))) * turn[1]
+            drawn[:] = z ^ (z >> np.uint32(13)) < np.uint32(part * (2**32 - 1))
             drawn_n += int(drawn.sum())
         feature, threshold, left, at_bin = [-1], [0.0], [0], [0]
         size = {0: int(gather(np.array([drawn_n], dtype=np.float64))[0])}
@@ -322,15 +376,19 @@ def grow(rows: Rows, edges: list[np.ndarray], n: int, positive: int, gather: Cal
                 split.append(v)
             if not split:
                 break
-            fs, ls, bs, new = np.array(feature), np.array(left), np.array(at_bin), np.zeros(len(feature), dtype=bool)
-            new[split] = True
+            new, of, begin, where = np.zeros(len(feature), dtype=bool), np.zeros(len(feature), dtype=np.intp), np.zeros(len(feature), dtype=np.intp), []
+            for v in split:  # the child that each cell of the node's group leads to
+                f = feature[v]
+                new[v], of[v], begin[v] = True, group[f], sum(map(len, where))
+                where.append((left[v] + (np.arange(cells[group[f]]) // stride[f] % widths[f] > at_bin[v])).astype(np.uint8))
+            child = np.concatenate(where)
             counts = np.zeros(len(feature))
-            for bins, _, _, _, _, _, node, drawn in pieces:
-                nd = np.asarray(node)
-                go = np.flatnonzero(new[nd])
-                nd = nd[go]
-                node[go] = nd = ls[nd] + (bins[fs[nd], go] > bs[nd])
-                counts += np.bincount(nd[drawn[go]], minlength=len(feature))
+            for keys, _, _, _, _, _, node, drawn in pieces:
+                go = np.flatnonzero(new.take(node))
+                nd = node.take(go)
+                nd = child.take(begin.take(nd) + keys.ravel().take(of.take(nd) * len(node) + go))
+                node[go] = nd
+                counts += np.bincount(nd[drawn.take(go)], minlength=len(feature))
             if level + 1 == depth:
                 break
             counts = gather(counts)
@@ -347,7 +405,7 @@ def grow(rows: Rows, edges: list[np.ndarray], n: int, positive: int, gather: Cal
         gs, hs = gather(sums)
         value = rate * gs / (hs + ridge)
         for _, _, _, score, _, _, node, _ in pieces:
-            score += value[node]
+            score += value.astype(np.float32)[node]
         trees.append((np.array(feature, dtype=np.int32), np.array(threshold, dtype=np.float32), np.array(left, dtype=np.int32), value, depth))
     return Trees(base, trees)
 
@@ -359,7 +417,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, bins: int = 48, **how: float) -> Tre
     if y.min() == y.max():
         return Trees(20.0 if y[0] else -20.0, [])
     edges = [edges_of(*np.unique(x[:, f], return_counts=True), bins) for f in range(x.shape[1])]
-    rows = Rows()
+    rows = Rows(edges)
     rows.add(np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8), y, np.arange(len(x), dtype=np.uint32))
     return grow(rows, edges, len(x), int(y.sum()), lambda a: a, **how)
 
@@ -472,8 +530,8 @@ class Chunk:
     __slots__ = ("bad", "blocks", "counts", "half", "kinds", "nos", "own", "per_line", "per_page", "sizes", "slugs", "vocab", "words")
 
     def __init__(self, pages: list[tuple[str, bool, list[int], list[Line], list[tuple[int, int, str]]]]):
-        ids: dict[str, int] = {"": 0}
-        place = lambda w: ids.setdefault(w, len(ids))
+        flat = [w for *_, lines, _ in pages for x in lines for w in (x.words or ("",))]
+        ids = {w: i for i, w in enumerate(dict.fromkeys(["", *flat]))}
         self.slugs = [slug for slug, *_ in pages]
         self.half = np.array([xxhash.xxh64_intdigest(slug) & 1 for slug in self.slugs], dtype=np.int8)
         self.counts = np.array([c for _, c, *_ in pages], dtype=bool)
@@ -484,7 +542,7 @@ class Chunk:
         self.sizes = np.array([e - a for *_, b in pages for a, e, _ in b], dtype=np.int64)
         self.kinds = np.array([_KINDS_OF_BLOCK[kind] for *_, b in pages for _, _, kind in b], dtype=np.int8)
         self.bad = np.array([y for *_, lines, b in pages for y in labels(lines, b)], dtype=bool)
-        self.words = np.array([place(w) for *_, lines, _ in pages for x in lines for w in (x.words or ("",))], dtype=np.int32)
+        self.words = np.fromiter(map(ids.__getitem__, flat), dtype=np.int32, count=len(flat))
         self.per_line = np.array([len(x.words) or 1 for *_, lines, _ in pages for x in lines], dtype=np.int64)
         self.vocab = np.array([NO_WORD, *(xxhash.xxh64_intdigest(w) for w in list(ids)[1:])], dtype=np.uint64).view(np.int64)
 
@@ -504,7 +562,9 @@ class Chunk:
         lines = lines & self.line(self.counts)
         cls = 2 * self.line(self.half).astype(np.int64) + bad
         v = len(self.vocab)
-        held = np.unique((np.repeat(np.arange(len(lines)), self.per_line)[taken := np.repeat(lines, self.per_line)]) * v + self.words[taken])
+        taken = np.repeat(lines, self.per_line)
+        held = np.sort(np.repeat(np.arange(len(lines)), self.per_line)[taken] * v + self.words[taken])
+        held = held[np.diff(held, prepend=-1) > 0]  # once for each line
         n = np.bincount(cls[held // v] * v + held % v, minlength=4 * v).reshape(4, v)
         n[:, 0] = np.bincount(cls[lines], minlength=4)
         c, w = np.nonzero(n)
@@ -542,25 +602,19 @@ class Templates:
     one mask.  known: log-likelihood ratio by a template's hash."""
 
     def __init__(self, known: Table | None = None):
-        self.known, self.masks, self.here = known, {}, {}
+        self.known, self.masks, self.here = known, Memo(self.mask), {}
 
-    def mask(self, word: str) -> str:
-        m = self.masks.get(word)
-        if m is None:
-            if len(self.masks) > 500_000:
-                self.masks.clear()
-            bare = word.lstrip("“”\"'‘’([*_")
-            m = self.masks[word] = "0" if any(map(str.isdigit, word)) else "\0" if bare[:1].isupper() else word
-        return m
+    @staticmethod
+    def mask(word: str) -> str:
+        return "0" if any(map(str.isdigit, word)) else "\0" if word.lstrip("“”\"'‘’([*_")[:1].isupper() else word
 
     def words(self, line: str) -> list[str]:
-        ws = (line if line.isascii() else line.translate(_GONE)).split()
+        ws = visible(line).split()
         return ws[1:] if len(ws) > 1 and ws[0] in _BULLETS else ws
 
     def hash(self, ws: list[str]) -> int:
-        masks = self.masks
-        rest = [masks.get(w) or self.mask(w) for w in ws[1:]]
-        t = " ".join(["0" if any(map(str.isdigit, ws[0])) else ws[0], *rest])
+        first = ws[0]
+        t = " ".join(["0" if any(map(str.isdigit, first)) else first, *map(self.masks.__getitem__, ws[1:])])
         while "\0 \0" in t:
             t = t.replace("\0 \0", "\0")
         h = xxhash.xxh64_intdigest(t)
@@ -630,7 +684,7 @@ def _pages(articles: DataFrame) -> DataFrame:
 
 
 def page_templates(articles: DataFrame) -> DataFrame:
-    """slug, site ('' where there is none), t: the hashes of a page's templates, once each."""
+    """slug, site ('' where there is none), t: the hashes of a page's templates, once each; times: how often it was delivered."""
     site = F.coalesce("site", F.lit("")) if "site" in articles.columns else F.lit("")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -641,17 +695,21 @@ def page_templates(articles: DataFrame) -> DataFrame:
 
     src = articles.withColumn("_site", site).select("slug", F.col("_site").alias("site"), "body").where("slug is not null and body is not null")
     rows = widen(src).mapInPandas(run, "slug string, site string, t array<bigint>")
-    return rows.groupBy("slug").agg(F.min(F.struct("site", "t")).alias("x")).select("slug", "x.site", "x.t")
+    return rows.groupBy("slug").agg(F.min(F.struct("site", "t")).alias("x"), F.count("*").alias("times")).select("slug", "x.site", "x.t", "times")
+
+
+def selected_pages(articles: DataFrame, provenance: DataFrame) -> DataFrame:
+    """page_templates with the selector of each page's last retrieval ('' where there is none)."""
+    sel = provenance.where("slug is not null").groupBy("slug").agg(F.max_by("body_selector", F.struct("retrieved_at", "prov_id")).alias("selector"))
+    return page_templates(articles).join(sel, "slug", "left").select("slug", "site", F.coalesce("selector", F.lit("")).alias("selector"), "t", "times")
 
 
-def furniture_templates(articles: DataFrame, provenance: DataFrame, least: int = 20) -> DataFrame:
+def furniture_templates(pages: DataFrame, least: int = 20) -> DataFrame:
     """template, pages, llr of every template that stands in ``least`` pages or more, over all pages.
 
     With p the share of a selector's pages, q its share of all that recurs and w = q / p, a page of a site counts log(w) less
     the logarithm of w's mean over the site's pages, so that what one site alone carries is measured by that site's selectors.
     Only hashes and counts are shuffled; counts combine first, so a template on every page is no hot key."""
-    sel = provenance.where("slug is not null").groupBy("slug").agg(F.max_by("body_selector", F.struct("retrieved_at", "prov_id")).alias("selector"))
-    pages = cut(page_templates(articles).join(sel, "slug", "left").select("slug", "site", F.coalesce("selector", F.lit("")).alias("selector"), "t"), "pages")
     n = pages.select("site", "selector", F.explode("t").alias("template")).groupBy("template", "site", "selector").agg(F.count("*").alias("n"))
     total = n.groupBy("template").agg(F.sum("n").alias("pages")).where(F.col("pages") >= least)
     often = cut(n.join(total, "template"), "templates")
@@ -662,10 +720,10 @@ def furniture_templates(articles: DataFrame, provenance: DataFrame, least: int =
     return often.join(w, "selector").join(mean, "site").groupBy("template", "pages").agg(F.sum(F.col("n") * F.ln(F.col("w") / F.col("m"))).alias("llr"))
 
 
-def _learned(articles: DataFrame) -> DataFrame:
+def _learned(articles: DataFrame, again: bool) -> DataFrame:
     """slug, body, counts: false for all but one delivery of a slug.  Bodies are only shuffled if a slug was delivered again."""
     pages = articles.select("slug", "body").where("slug is not null and body is not null")
-    if pages.groupBy("slug").count().where("count > 1").isEmpty():
+    if not again:
         return widen(pages).withColumn("counts", F.lit(True))
     return pages.withColumn("counts", F.row_number().over(Window.partitionBy("slug").orderBy("body")) == 1)
 
@@ -762,7 +820,7 @@ def fit_rows(rows: DataFrame, edges: list[np.ndarray], n: int, positive: int, **
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges, bins_of = shared.value
-        own, columns = Rows(), np.arange(len(edges))
+        own, columns = Rows(edges), np.arange(len(edges))
         for pdf in batches:
             for x, y, salt in zip(pdf["x"], pdf["y"], pdf["salt"]):
                 codes = np.frombuffer(x, dtype=np.uint16).reshape(-1, len(edges))
@@ -780,7 +838,8 @@ def fit_rows(rows: DataFrame, edges: list[np.ndarray], n: int, positive: int, **
 def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int = 48, **how: float) -> tuple[Model, DataFrame]:
     """A model of all pages, and the pages as they were read (chunk, with rows where it is null)."""
     sc = articles.sparkSession.sparkContext
-    templates = Table(*_arrays(furniture_templates(articles, provenance, least).select("template", F.col("llr").cast("double"))))
+    own = cut(selected_pages(articles, provenance), "pages")
+    templates = Table(*_arrays(furniture_templates(own, least).select("template", F.col("llr").cast("double"))))
     known = sc.broadcast(templates)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -789,7 +848,7 @@ def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int =
             yield pd.DataFrame({"chunk": [c.dumps()], "w": [w], "c": [k], "n": [n]})
 
     counted = "w array<bigint>, c array<int>, n array<bigint>"
-    pages = cut(_learned(articles).mapInPandas(read, f"chunk binary, {counted}"), "lines")
+    pages = cut(_learned(articles, not own.where("times > 1").isEmpty()).mapInPandas(read, f"chunk binary, {counted}"), "lines")
     tallies = _tallies(pages)
     w, n, lines = _words_of(tallies)
     first = Table(w, word_weights(n[0] + n[2], n[1] + n[3], (lines[0] + lines[2], lines[1] + lines[3])))
@@ -810,8 +869,16 @@ def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int =
     halves = sc.broadcast(Table(w, np.stack([word_weights(n[2 * k], n[2 * k + 1], (lines[2 * k], lines[2 * k + 1])) for k in (1, 0)], axis=1)))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((N_FEATURES, 1 << 16), dtype=np.int64)
+        seen, held = np.zeros((N_FEATURES, 1 << 16), dtype=np.int64), []
         n = positive = 0
+
+        def count() -> None:
+            if held:
+                codes = np.concatenate(held)
+                for f in range(N_FEATURES):
+                    seen[f] += np.bincount(codes[:, f], minlength=1 << 16)
+                held.clear()
+
         for pdf in batches:
             for b in pdf["chunk"]:
                 c = Chunk.loads(b)
@@ -824,10 +891,12 @@ def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int =
                 codes, y = codes[own], y[own]
                 hashes = np.array([xxhash.xxh32_intdigest(slug) for slug in c.slugs], dtype=np.uint32)
                 salt = (c.line(hashes) + c.nos.astype(np.uint32) * np.uint32(2654435761))[own]
-                for f in range(N_FEATURES):
-                    seen[f] += np.bincount(codes[:, f], minlength=1 << 16)
+                held.append(codes)
+                if sum(map(len, held)) > 100_000:
+                    count()
                 n, positive = n + len(y), positive + int(y.sum())
                 yield pd.DataFrame({"slug": [min(c.slugs)], "x": [codes.tobytes()], "y": [y.tobytes()], "salt": [salt.tobytes()], "k": [None], "n": [None]})
+        count()
         if n:
             f, code = np.nonzero(seen)
             yield pd.DataFrame({"slug": [None], "x": [None], "y": [None], "salt": [None], "k": [np.append(f << 16 | code, [-1, -2])], "n": [np.append(seen[f, code], [n, positive])]})
