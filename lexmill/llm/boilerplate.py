@@ -849,7 +849,7 @@ def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int =
 
     counted = "w array<bigint>, c array<int>, n array<bigint>"
     pages = cut(_learned(articles, not own.where("times > 1").isEmpty()).mapInPandas(read, f"chunk binary, {counted}"), "lines")
-    tallies = _tallies(pages)
+    tallies = cut(_tallies(pages), "words")
     w, n, lines = _words_of(tallies)
     first = Table(w, word_weights(n[0] + n[2], n[1] + n[3], (lines[0] + lines[2], lines[1] + lines[3])))
     carried = sc.broadcast(first)
@@ -861,9 +861,11 @@ def fit(articles: DataFrame, provenance: DataFrame, least: int = 20, bins: int =
                 heavy = c.heavy(carried.value)
                 for label, sign in ((True, 1), (False, -1)):
                     w, k, n = c.tally(heavy, np.full(len(heavy), label), sign)
+                    if not len(w):
+                        continue
                     yield pd.DataFrame({"w": [w], "c": [k], "n": [n]})
 
-    w, n, lines = _words_of(_tallies(pages.select("w", "c", "n").unionByName(pages.select("chunk").mapInPandas(carry, counted))))
+    w, n, lines = _words_of(tallies.unionByName(_tallies(pages.select("chunk").mapInPandas(carry, counted))).groupBy("w").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in range(4))))
     weights = Table(w, word_weights(n[0] + n[2], n[1] + n[3], (lines[0] + lines[2], lines[1] + lines[3])))
     # A line's own label is not to weigh its words: each half of the pages is weighed by the other half's.
     halves = sc.broadcast(Table(w, np.stack([word_weights(n[2 * k], n[2 * k + 1], (lines[2 * k], lines[2 * k + 1])) for k in (1, 0)], axis=1)))
